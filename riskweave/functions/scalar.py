@@ -52,31 +52,18 @@ def duration_us(text: str) -> int:
 def shannon_entropy(text) -> Column:
     """Bits per character of a string; the empty string (or NULL) has 0.
 
-    Sorting the characters turns equal ones into runs, so one fold over the
-    array counts them all: O(n log n) in the text length, whatever the alphabet.
+    The characters are sorted and joined again, so that each run of equal ones
+    is one regular-expression match and its length is the character's count:
+    O(n log n) in the text length, whatever the alphabet.
     """
     t = _col(text)
     n = F.char_length(t).cast("double")
-    plogp = lambda run: F.when(run > 0, (run / n) * F.log2(run / n)).otherwise(F.lit(0.0))
-    start = F.struct(
-        F.lit("").alias("ch"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")
+    runs = F.regexp_extract_all(
+        F.array_join(F.sort_array(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)
     )
-
-    def step(acc, ch):
-        same = acc["ch"] == ch
-        return F.struct(
-            ch.alias("ch"),
-            F.when(same, acc["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"),
-            F.when(same, acc["sum"]).otherwise(acc["sum"] + plogp(acc["run"])).alias("sum"),
-        )
-
-    bits = F.aggregate(
-        F.array_sort(F.split(t, "")),
-        start,
-        step,
-        lambda acc: F.abs(acc["sum"] + plogp(acc["run"])),
-    )
-    return F.when(F.coalesce(F.char_length(t), F.lit(0)) == 0, F.lit(0.0)).otherwise(bits)
+    shares = F.transform(runs, lambda r: F.char_length(r) / n)
+    bits = F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    return F.when(F.coalesce(n, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(bits)
 
 
 def contains_url(text) -> Column:
