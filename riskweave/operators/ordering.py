@@ -307,10 +307,16 @@ def cut_keys(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int)
     return out
 
 
-def before_key(order: Sequence[str], key: Sequence) -> Column:
-    """True for rows that sort strictly before ``key``."""
-    cond = F.lit(False)
-    for i in reversed(range(len(key))):
-        c, v = F.col(order[i]), F.lit(key[i])
-        cond = (c < v) | ((c == v) & cond) if i < len(key) - 1 else (c < v)
+def before_key(
+    order: Sequence[str], key: Sequence, columns: dict[str, Column] | None = None
+) -> Column:
+    """True for rows that sort strictly before ``key``, which may be a leading part.
+
+    ``columns`` gives the expression of an order column that the frame lacks.
+    """
+    cond = None
+    for name, v in reversed(list(zip(order, key))):
+        c = (columns or {}).get(name)
+        c = F.col(name) if c is None else c
+        cond = (c < F.lit(v)) if cond is None else (c < F.lit(v)) | ((c == F.lit(v)) & cond)
     return cond
