@@ -188,27 +188,26 @@ class IsolationForest:
         """The node table, at most ``trees * (2 * sample - 1)`` rows."""
         pool = self.pool(scaled, columns, n, sample)
         size = pool.count()
-        draws = np.concatenate(
-            [
-                np.random.default_rng([self.seed, t]).choice(size, min(sample, size), replace=False)
-                for t in range(self.trees)
-            ]
-        )
-        picks = scaled.sparkSession.createDataFrame(
-            pd.DataFrame(
-                {"tree": np.repeat(np.arange(self.trees, dtype=np.int32), min(sample, size)), "_i": draws}
-            ),
-            "tree int, _i long",
-        )
-        # Fixed size: trees * sample rows.
-        drawn = pool.join(F.broadcast(picks), "_i")
+        spark = scaled.sparkSession
         seed, limit = self.seed, int(np.ceil(np.log2(max(sample, 2))))
-        names = list(columns)
+        names, take = list(columns), min(sample, size)
+        tasks = min(self.trees, spark.sparkContext.defaultParallelism)
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for t in batch["id"]:
+                    at = np.random.default_rng([seed, int(t)]).choice(size, take, replace=False)
+                    yield pd.DataFrame({"tree": np.full(take, t, dtype=np.int32), "_i": at})
+
+        picks = spark.range(0, self.trees, 1, tasks).mapInPandas(draw, "tree int, _i long")
 
         def grow_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("_i")
             return grow_tree(int(key[0]), rows[names].to_numpy(dtype=np.float64), seed, limit)
 
+        # The picks have a fixed size: trees * sample rows. The sample is small
+        # enough to be merged into one partition, which would grow all trees in a row.
+        drawn = pool.join(F.broadcast(picks), "_i").repartition(tasks, "tree")
         return drawn.groupBy("tree").applyInPandas(grow_group, NODE_SCHEMA)
 
     def pool(self, scaled: DataFrame, columns: Sequence[str], n: int, sample: int) -> DataFrame:
