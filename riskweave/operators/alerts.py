@@ -63,8 +63,27 @@ SEVERITIES = ("HIGH", "MEDIUM", "LOW")
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """A number as text with exactly ``digits`` decimals, halves to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """A number as text with exactly ``digits`` decimals.
+
+    Rounds the exact binary value, halves to the even digit. Spark's own
+    rounding looks at the shortest decimal text instead, and so takes 0.025 for
+    a half although the double lies above it; near a half, the exact side is
+    found from the rounding error of the scaling product.
+    """
+    steps = 2.0 * 10**digits
+    p = value * steps
+    # Exact product: value * steps = p + error, by splitting value in two.
+    wide = value * 134217729.0
+    high = wide - (wide - value)
+    error = (high * steps - p) + (value - high) * steps
+    half = F.floor(p / 2).cast("double") * 2 + 1
+    side = (p - half) + error
+    even = F.floor((half + 1) / 4).cast("double") * 2
+    near_half = (
+        F.when(side > 0, (half + 1) / 2).when(side < 0, (half - 1) / 2).otherwise(even)
+    ) / float(10**digits)
+    rounded = F.when(F.abs(p - half) < 1e-6, near_half).otherwise(F.bround(value, digits))
+    return F.format_string(f"%.{digits}f", rounded)
 
 
 def severity(score: Column, flagged: Column, contamination: float | Column) -> Column:
