@@ -216,6 +216,11 @@ def row_measures(timed: DataFrame, ordered, opts: FeatureOptions) -> DataFrame:
         F.sort_array(F.collect_list(rate).over(last)).alias("_rates"),
         F.lag("ledger_index").over(ordered).alias("_previous"),
     )
+    return finish(staged, opts)
+
+
+def finish(staged: DataFrame, opts: FeatureOptions) -> DataFrame:
+    """Features from the measures of the trailing windows; each row by itself."""
     enough = F.col("_n") >= opts.min_rows
     median = _middle(F.col("_rates"))
     x = F.col("tx_per_minute")
@@ -235,9 +240,9 @@ def row_measures(timed: DataFrame, ordered, opts: FeatureOptions) -> DataFrame:
         seen = F.when(F.col("_memo") == "", F.lit(0.0)).otherwise(seen)
     dests = F.greatest(F.col("_dests"), F.lit(1))
     per_tx = F.greatest(F.col("rolling_tx_count_5m"), F.lit(1.0))
+    working = {"_n", "_volume_mean", "_rate_mean", "_rate_std", "_rates", "_previous"}
     return staged.select(
-        *[c for c in timed.columns],
-        "tx_per_minute",
+        *[c for c in staged.columns if c not in working | {"_median", "_mad"}],
         (F.col("tx_size_percentile_local") >= LARGE_TX_PERCENTILE).cast("int").alias("is_large_tx"),
         safe_div(F.col("total_volume_5m"), baseline).alias("volume_spike_ratio"),
         F.when(F.abs(std) < 1e-12, F.lit(0.0)).otherwise((x - mean) / std).alias("tx_rate_z_score"),

@@ -26,8 +26,8 @@ def ordered_blocks(df: DataFrame, order: Sequence[str], label: str = "blocks") -
     because range bounds are sampled and must not change between two reads.
     """
     cols = [F.col(c) for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    # Without a fixed number, adaptive execution merges ranges that turn out small.
+    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     # The id is (partition << 33) + position, in the order just sorted.
     placed = ranged.withColumn("_id", F.monotonically_increasing_id())
     return written_table(

@@ -315,6 +315,16 @@ def ledger_counts(origin: str, tx: str) -> str:
     FROM ({tx})"""
 
 
+def bursts(kind: str, slide: int, steps: list[int]) -> str:
+    """Counts per account and hour; a row is in the window it falls in and in earlier ones."""
+    us = slide * MINUTE
+    return f"""
+    SELECT account, '{kind}' AS kind, CAST(s AS BIGINT) AS start_us, CAST(s + {60 * MINUTE} AS BIGINT) AS end_us,
+      count(*) AS n, round(sum(amount_value), 6) AS volume
+    FROM (SELECT account, amount_value, (epoch_us(close_time) // {us} - k) * {us} AS s
+          FROM ({EVENTS_TX}), (SELECT unnest({steps}) AS k)) GROUP BY account, s"""
+
+
 LABELLED = """
 SELECT CAST(d.doc_id AS VARCHAR) AS hash, d.source AS account, CAST(NULL AS VARCHAR) AS destination,
   d.doc_id AS ledger_index, TIMESTAMP '2024-01-01' AS close_time, CAST(d.n_chars AS DOUBLE) AS amount_value,
@@ -467,4 +477,15 @@ def build_sql() -> dict[str, str]:
             round(dest_concentration, 6) AS dest_concentration, round(offer_cancel_ratio, 6) AS offer_cancel_ratio,
             round(dormancy_gap, 6) AS dormancy_gap
             FROM s WHERE score > 0.7 ORDER BY s.score DESC, account, ledger_index LIMIT 20""",
+        "stream_normalize": f"{norm} WHERE {kept}",
+        "stream_dedup": "SELECT CAST(event_id AS VARCHAR) AS hash, CAST(user_id AS VARCHAR) AS account, "
+        "event_id AS ledger_index, value AS amount_value FROM events",
+        # The watermark counts in milliseconds: newest time less ten minutes.
+        "stream_features": f"""WITH {WEEK} SELECT hash, account, ledger_index, {", ".join(
+            rounded(c) for c in FEATURE_COLUMNS if c not in ("tx_size_percentile_local", "is_large_tx"))}
+            FROM f WHERE epoch_us(close_time) <=
+              ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 600000) * 1000""",
+        "stream_bursts": bursts("tumbling", 60, [0])
+        + " UNION ALL "
+        + bursts("sliding", 15, [0, 1, 2, 3]),
     }

@@ -31,6 +31,7 @@ from riskweave.sources.adapters import (
     orders_as_transactions,
     table,
 )
+from riskweave.streaming import streams as st
 
 WINDOWS = ("5 minutes", "7 days")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -529,6 +530,70 @@ def run_pipeline(spark, sf_dir):
     return pl.run_pipeline(spark, rows, n_splits=0, window="7 days")
 
 
+# --------------------------------------------------------------------------- streams
+
+STREAM_DELAY = "10 minutes"
+
+
+def _through(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream to the end of its input and read what it wrote."""
+    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    st.to_table(df, out, state, mode)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """Events as transactions, read as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    return events_as_transactions(spark, sf_dir, stream)
+
+
+def stream_normalize(spark, sf_dir):
+    path = fresh_path(spark, "raw-stream")
+    raw_messages(events_as_raw(spark, sf_dir)).repartition(4).write.text(path)
+    done = _through(spark, st.stream_transactions(st.stream_raw(spark, path, "json", max_files=2)))
+    return normalised_rows(done)
+
+
+def stream_features(spark, sf_dir):
+    """Features of the stream, for the rows its watermark has passed."""
+    f = st.stream_features(_event_stream(spark, sf_dir), window="7 days", delay=STREAM_DELAY)
+    return rounded(_through(spark, f).drop("close_time", "tx_size_percentile_local", "is_large_tx"))
+
+
+def stream_bursts(spark, sf_dir):
+    tumbling = st.burst_counts(_event_stream(spark, sf_dir), "1 hour")
+    sliding = st.burst_counts(_event_stream(spark, sf_dir), "1 hour", "15 minutes")
+    both = [
+        _through(spark, df, "complete").withColumn("kind", F.lit(kind))
+        for kind, df in (("tumbling", tumbling), ("sliding", sliding))
+    ]
+    out = both[0].unionByName(both[1])
+    return rounded(
+        out.select("account", "kind", micros("start").alias("start_us"), micros("end").alias("end_us"), "n", "volume")
+    )
+
+
+def stream_dedup(spark, sf_dir):
+    """A stream in which every event arrives twice, read back once."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    twice = events_as_transactions(spark, sf_dir, stream.union(stream))
+    once = _through(spark, st.deduplicated(twice))
+    return once.select("hash", "account", "ledger_index", "amount_value")
+
+
+def stream_alerts(spark, sf_dir):
+    """Alerts of the live scoring query."""
+    _, _, _, model = _trained(spark, sf_dir)
+    amounts = written_table(st.amount_table(events_as_transactions(spark, sf_dir)), "amounts")
+    f = st.stream_features(_event_stream(spark, sf_dir), window="7 days", amounts=amounts)
+    out = fresh_path(spark, "live-alerts")
+    st.live_alerts(f, model, out, fresh_path(spark, "live-state"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def build_queries() -> dict[str, Query]:
     one = feature_query
     return {
@@ -606,4 +671,9 @@ def build_queries() -> dict[str, Query]:
         "score_batch": score_batch,
         "model_roundtrip": model_roundtrip,
         "run_pipeline": run_pipeline,
+        "stream_normalize": stream_normalize,
+        "stream_dedup": stream_dedup,
+        "stream_features": stream_features,
+        "stream_bursts": stream_bursts,
+        "stream_alerts": stream_alerts,
     }

@@ -11,15 +11,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transaction per event: users are accounts, event ids are ledgers."""
+def events_as_transactions(
+    spark: SparkSession, sf_dir: str, events: DataFrame | None = None
+) -> DataFrame:
+    """One transaction per event: users are accounts, event ids are ledgers.
+
+    ``events`` may be a stream of the same rows.
+    """
+    if events is None:
+        events = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     kind = (
         F.when(F.col("event_type") == "click", "OfferCreate")
         .when(F.col("event_type") == "view", "OfferCancel")
         .otherwise(F.col("event_type"))
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("hash"),
         F.col("user_id").cast("string").alias("account"),
         k.alias("destination"),
