@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from riskweave.schema import DROPS_PER_NATIVE, NATIVE_CURRENCY
 
-TIME_FORMATS = [
-    "yyyy-MMM-dd HH:mm:ss.SSSSSSSSS z",
-    "yyyy-MMM-dd HH:mm:ss z",
-]
+#: Ledger style, such as ``2024-Jan-05 12:34:50.000000000 UTC``; the fraction may be absent.
+LEDGER_TIME_PATTERN = r"^[0-9]{4}-[A-Za-z]{3}-"
+LEDGER_TIME_FORMAT = "yyyy-MMM-dd HH:mm:ss[.SSSSSSSSS] z"
 
-_AMOUNT_JSON = "value string, currency string, issuer string"
+_AMOUNT_JSON = "value string, currency string, issuer string, _corrupt_record string"
 
 
 def _col(c) -> Column:
@@ -38,26 +37,30 @@ def parse_amount(raw) -> Column:
     the native one (also assumed when the key is missing) is again in drops.
     """
     text = F.trim(_col(raw))
-    obj = F.from_json(text, _AMOUNT_JSON)
-    is_object = text.startswith("{")
-    malformed = is_object & F.try_parse_json(text).isNull()
+    return amount_struct(text, amount_object(text))
+
+
+def amount_object(text: Column) -> Column:
+    """The parsed object of an amount that is JSON, else NULL."""
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    return F.from_json(F.when(text.startswith("{"), text), _AMOUNT_JSON, options)
+
+
+def amount_struct(text: Column, obj: Column) -> Column:
+    """The amount from its trimmed text and, if that is JSON, its object."""
+    malformed = obj["_corrupt_record"].isNotNull()
+    good = obj.isNotNull() & ~malformed
     currency = F.coalesce(obj["currency"], F.lit(NATIVE_CURRENCY))
     native = currency == NATIVE_CURRENCY
-    obj_value = obj["value"].try_cast("double")
     drops = F.lit(float(DROPS_PER_NATIVE))
-    none = F.lit(None).cast("string")
-    value = (
-        F.when(malformed, None)
-        .when(is_object & native, obj_value / drops)
-        .when(is_object, obj_value)
-        .when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint") / drops)
+    obj_value = obj["value"].try_cast("double") / F.when(native, drops).otherwise(F.lit(1.0))
+    value = F.when(good, obj_value).when(
+        obj.isNull() & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint") / drops
     )
     return F.struct(
-        value.cast("double").alias("value"),
-        F.when(is_object & ~malformed, currency)
-        .otherwise(F.lit(NATIVE_CURRENCY))
-        .alias("currency"),
-        F.when(is_object & ~malformed & ~native, obj["issuer"]).otherwise(none).alias("issuer"),
+        value.alias("value"),
+        F.when(good, currency).otherwise(F.lit(NATIVE_CURRENCY)).alias("currency"),
+        F.when(good & ~native, obj["issuer"]).alias("issuer"),
         F.coalesce(malformed, F.lit(False)).alias("rejected"),
     )
 
@@ -70,9 +73,9 @@ def parse_time(text, numeric_time: str = "null") -> Column:
     """
     t = F.trim(_col(text))
     numeric = t.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
-    parsed = F.coalesce(
-        *[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS], t.try_cast("timestamp")
-    )
+    parsed = F.when(
+        t.rlike(LEDGER_TIME_PATTERN), F.try_to_timestamp(t, F.lit(LEDGER_TIME_FORMAT))
+    ).otherwise(t.try_cast("timestamp"))
     if numeric_time == "null":
         number = F.lit(None).cast("timestamp")
     elif numeric_time == "unix_s":

@@ -61,9 +61,17 @@ def shannon_entropy(text) -> Column:
     runs = F.regexp_extract_all(
         F.array_join(F.sort_array(F.split(t, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)
     )
-    shares = F.transform(runs, lambda r: F.char_length(r) / n)
-    bits = F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
-    return F.when(F.coalesce(n, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(bits)
+    counts = F.transform(runs, lambda r: F.char_length(r).cast("double"))
+    # One repeated character has no information; rounding must not say otherwise.
+    bits = F.aggregate(
+        counts,
+        F.lit(0.0),
+        lambda total, c: total + c * F.log2(c),
+        lambda total: F.when(total > n * F.log2(n) - 1e-9, F.lit(0.0)).otherwise(
+            F.log2(n) - total / n
+        ),
+    )
+    return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(bits, F.lit(0.0)))
 
 
 def contains_url(text) -> Column:

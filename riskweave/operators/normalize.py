@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions import first_filled, parse_amount, parse_time, pick_amount
+from riskweave.functions import first_filled, parse_time, pick_amount
+from riskweave.functions.amounts import amount_object, amount_struct
 from riskweave.schema import SUCCESS_RESULT
 from riskweave.sources.readers import conform_raw
 
+# Fields of a raw record, the first that is present counts.
+AMOUNT_FIELDS = ["amount", "deliver_max", "taker_gets"]
+TIME_FIELDS = ["ledger_close_time_human", "date", "timestamp"]
+
 
 def normalize(df: DataFrame, numeric_time: str = "null", keep_rejects: bool = False) -> DataFrame:
     """One projection over raw records; batch and streaming frames alike.
@@ -17,14 +22,17 @@ def normalize(df: DataFrame, numeric_time: str = "null", keep_rejects: bool = Fa
     present but could not be parsed.
     """
     raw = conform_raw(df)
-    amount_text = pick_amount("amount", "deliver_max", "taker_gets")
-    time_text = first_filled("ledger_close_time_human", "date", "timestamp")
-    staged = raw.select(
-        "*",
-        parse_amount(amount_text).alias("_amount"),
-        parse_time(time_text, numeric_time).alias("_time"),
-        time_text.alias("_time_text"),
+    texts = raw.select(
+        *[F.col(c) for c in raw.columns if c not in AMOUNT_FIELDS + TIME_FIELDS],
+        F.trim(pick_amount(*AMOUNT_FIELDS)).alias("_text"),
+        first_filled(*TIME_FIELDS).alias("_time_text"),
     )
+    # Parsed once here; the columns below only read the result.
+    staged = texts.select(
+        "*",
+        amount_object(F.col("_text")).alias("_object"),
+        parse_time("_time_text", numeric_time).alias("_time"),
+    ).withColumn("_amount", amount_struct(F.col("_text"), F.col("_object")))
     whole = lambda c: F.trim(F.col(c)).try_cast("bigint")
     out = [
         F.col("_time").alias("timestamp"),
