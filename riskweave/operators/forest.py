@@ -29,8 +29,8 @@ EULER_GAMMA = 0.5772156649015329
 
 #: Steps of the stored distribution of training scores.
 GRID = 1000
-#: Rows scored at a time inside a batch, so that the working arrays stay in cache.
-SCORE_ROWS = 2048
+#: Rows scored at a time inside a batch: rows x trees working arrays that stay in cache.
+SCORE_ROWS = 128
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
 

@@ -91,25 +91,29 @@ def trailing_sums(rows: DataFrame, opts: FeatureOptions) -> DataFrame:
         .agg(*[F.sum(src).alias(name) for name, src in _SUMS.items()])
         .withColumn("_b", block)
     )
-    names = list(_SUMS)
-    nothing = [F.lit(0).alias(f"_old{n}") for n in names]
-    now = cells.select(*keys, "_b", "_us", F.lit(1).alias("_now"), *names, *nothing)
-    # A cell leaves the window one window length later: there it is old.
-    later = cells.select(
-        *keys,
+    names, types = list(_SUMS), dict(cells.dtypes)
+    # A cell enters at its own time and leaves one window length later: there it is old.
+    enters = F.struct(
+        F.col("_b").alias("_b"),
+        F.col("_us").alias("_us"),
+        F.lit(1).alias("_now"),
+        *[F.col(n) for n in names],
+        *[F.lit(0).cast(types[n]).alias(f"_old{n}") for n in names],
+    )
+    leaves = F.struct(
         (F.col("_b") + count).alias("_b"),
         (F.col("_us") + opts.window_us).alias("_us"),
         F.lit(0).alias("_now"),
-        *[F.lit(0).alias(n) for n in names],
+        *[F.lit(0).cast(types[n]).alias(n) for n in names],
         *[F.col(n).alias(f"_old{n}") for n in names],
     )
+    marks = cells.select(*keys, F.explode(F.array(enters, leaves)).alias("_m")).select(*keys, "_m.*")
     in_block = W.partitionBy(*keys, "_b")
     head = in_block.orderBy("_us", F.desc("_now")).rowsBetween(W.unboundedPreceding, -1)
     # Later first; at the same time the reader comes before the leaver.
     tail = in_block.orderBy(F.desc("_us"), F.desc("_now")).rowsBetween(W.unboundedPreceding, 0)
     ends = (
-        now.unionByName(later)
-        .select(
+        marks.select(
             *keys,
             "_b",
             "_us",
@@ -178,18 +182,14 @@ def trailing_distinct(rows: DataFrame, opts: FeatureOptions) -> DataFrame:
     uses = destination_uses(rows, opts)
     expiry = F.col("_us") + opts.window_us
     fresh = F.coalesce(F.col("_previous_use") <= F.col("_us") - opts.window_us, F.lit(True))
-    starts = uses.select(
-        *keys, "_us", F.lit(1).alias("_d"), F.lit(1).alias("_now"), fresh.cast("int").alias("_fresh")
-    )
-    ends = uses.select(
-        *keys,
-        F.least(expiry, F.col("_next")).alias("_us"),
-        F.lit(-1).alias("_d"),
-        F.lit(0).alias("_now"),
-        F.lit(0).alias("_fresh"),
+    mark = lambda us, d, now, new: F.struct(
+        us.alias("_us"), F.lit(d).alias("_d"), F.lit(now).alias("_now"), new.alias("_fresh")
     )
+    starts = mark(F.col("_us"), 1, 1, fresh.cast("int"))
+    ends = mark(F.least(expiry, F.col("_next")), -1, 0, F.lit(0))
     marks = (
-        starts.unionByName(ends)
+        uses.select(*keys, F.explode(F.array(starts, ends)).alias("_m"))
+        .select(*keys, "_m.*")
         .groupBy(*keys, "_us")
         .agg(F.sum("_d").alias("_d"), F.max("_now").alias("_now"), F.sum("_fresh").alias("_fresh"))
         .withColumn("_b", F.floor(F.col("_us") / length))

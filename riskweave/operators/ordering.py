@@ -282,7 +282,13 @@ def exact_quantiles(
     return out
 
 
-def cut_keys(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int) -> dict[int, tuple]:
+def cut_keys(
+    df: DataFrame,
+    order: Sequence[str],
+    ranks: Sequence[int],
+    n: int,
+    limit: int = SELECTION_LIMIT,
+) -> dict[int, tuple]:
     """The sort key of the row at each 0-based rank of a total order.
 
     Selects on the first column, then, among the ties only, on the next. The
@@ -291,22 +297,45 @@ def cut_keys(df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int)
     first, rest = order[0], list(order[1:])
     ranks = sorted({int(r) for r in ranks})
     if dict(df.dtypes)[first] == "string":
-        indexed = row_index(ordered_blocks(df.select(first), [first], "ties"))
-        hits = indexed.filter(F.col("_row").isin(ranks)).collect()
-        return {h["_row"]: (h[first],) for h in hits}
-    found = select_ranks(df, {first: ranks}, n)
+        return _cut_text(df, order, ranks, n, limit)
+    found = select_ranks(df, {first: ranks}, n, limit)
     out: dict[int, tuple] = {}
+    few: dict[tuple, int] = {}
     for rank in ranks:
         value, below, equal = found[(first, rank)]
         # A rank at the first of its ties is cut by the value alone.
         if not rest or rank == below:
             out[rank] = (value,)
-            continue
-        ties = df.filter(F.col(first) == F.lit(value)).select(*rest)
-        out[rank] = (value, *cut_keys(ties, rest, [rank - below], equal)[rank - below])
+        elif equal <= limit:
+            few[(value, rank - below)] = rank
+        else:
+            ties = df.filter(F.col(first) == F.lit(value)).select(*rest)
+            out[rank] = (value, *cut_keys(ties, rest, [rank - below], equal, limit)[rank - below])
+    if few:
+        # Small groups of ties are all ranked in one job.
+        nth = F.row_number().over(W.partitionBy(first).orderBy(*rest)) - 1
+        ties = df.filter(F.col(first).isin([v for v, _ in few])).select(*order, nth.alias("_nth"))
+        hit = F.lit(False)
+        for value, at in few:
+            hit = hit | ((F.col(first) == F.lit(value)) & (F.col("_nth") == at))
+        for r in ties.filter(hit).collect():
+            out[few[(r[first], r["_nth"])]] = tuple(r[c] for c in order)
     return out
 
 
+def _cut_text(
+    df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int, limit: int
+) -> dict[int, tuple]:
+    if n <= limit:
+        numbered = df.select(
+            *order, (F.row_number().over(W.orderBy(*order)) - 1).alias("_row")
+        )
+    else:
+        numbered = row_index(ordered_blocks(df.select(*order), order, "ties"))
+    hits = numbered.filter(F.col("_row").isin(list(ranks))).collect()
+    return {h["_row"]: tuple(h[c] for c in order) for h in hits}
+
+
 def before_key(
     order: Sequence[str], key: Sequence, columns: dict[str, Column] | None = None
 ) -> Column:

@@ -51,7 +51,8 @@ def test_exact_quantiles(spark, limit):
         assert got[name] == pytest.approx(list(np.quantile(values, probs)), abs=1e-9)
 
 
-def test_cut_keys_through_ties(spark):
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_cut_keys_through_ties(spark, limit):
     rng = random.Random(3)
     rows = [(rng.randrange(3), rng.randrange(3), f"h{i:05d}") for i in range(500)]
     rng.shuffle(rows)
@@ -59,7 +60,7 @@ def test_cut_keys_through_ties(spark):
     order = ["a", "b", "c"]
     s = sorted(rows)
     ranks = [1, 100, 250, 400, 499]
-    keys = cut_keys(df, order, ranks, len(rows))
+    keys = cut_keys(df, order, ranks, len(rows), limit)
     for r in ranks:
         got = sorted(tuple(x) for x in df.filter(before_key(order, keys[r])).collect())
         assert got == s[:r]
