@@ -219,7 +219,11 @@ class IsolationForest:
         """
         wanted = self.trees * sample
         keys = [c for c in ("hash", "account", "ledger_index", "close_time") if c in scaled.columns]
-        draw = F.xxhash64(F.lit(self.seed), *[F.col(c) for c in [*keys, *columns]])
+        identity = [F.col(c) for c in [*keys, *columns]]
+        if "hash" not in keys:
+            # Without a row key equal rows would be drawn all or none: number them.
+            identity.append(F.monotonically_increasing_id())
+        draw = F.xxhash64(F.lit(self.seed), *identity)
         rows = scaled.select(draw.alias("_draw"), *keys, *columns)
         if n > 2 * wanted:
             # xxhash64 is uniform on the signed 64-bit range.

@@ -44,13 +44,15 @@ def split_features(hot: DataFrame, opts: FeatureOptions, chunk_rows: int = CHUNK
     """Window features of ``hot`` (output of ``prepare``), whatever the skew."""
     keys = list(opts.entity)
     present = F.col("hash").isNotNull().cast("int")
-    rows = written_table(hot.withColumn("_present", present), "hot")
+    # Copies of a transaction agree in every order column; the written number tells them apart.
+    numbered = hot.withColumn("_present", present).withColumn("_copy", F.monotonically_increasing_id())
+    rows = written_table(numbered, "hot")
     cells = trailing_sums(rows, opts).join(trailing_distinct(rows, opts), [*keys, "_us"])
     ranked = rows.join(amount_percentile(rows, keys), [*keys, "amount_value"])
     timed = ranked.join(cells, [*keys, "_us"])
     if opts.ties == "positional":
         timed = _positional(timed, rows, opts)
-    blocks = ordered_blocks(timed, [*keys, *ROW_ORDER], "ledger-order")
+    blocks = ordered_blocks(timed, [*keys, *ROW_ORDER, "_copy"], "ledger-order")
     seen = running_totals(blocks, [*keys, "_memo"], {"_seen": F.lit(1)}, keys_lead_order=False)
     named = row_index(seen).select(
         *[c for c in hot.columns],
@@ -225,7 +227,7 @@ def _positional(timed: DataFrame, rows: DataFrame, opts: FeatureOptions) -> Data
     """Replace the equal-time part of each measure by that of the rows so far."""
     keys = list(opts.entity)
     at_time = [*keys, "_us"]
-    blocks = ordered_blocks(timed, [*at_time, "ledger_index", "hash"], "time-order")
+    blocks = ordered_blocks(timed, [*at_time, "ledger_index", "hash", "_copy"], "time-order")
     so_far = running_totals(
         blocks,
         at_time,

@@ -326,14 +326,23 @@ def cut_keys(
 def _cut_text(
     df: DataFrame, order: Sequence[str], ranks: Sequence[int], n: int, limit: int
 ) -> dict[int, tuple]:
+    """Ranks by text columns; copies of a key are counted, not sorted."""
+    cells = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
     if n <= limit:
-        numbered = df.select(
-            *order, (F.row_number().over(W.orderBy(*order)) - 1).alias("_row")
-        )
+        upto = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        running = cells.withColumn("_upto", F.sum("_n").over(upto))
     else:
-        numbered = row_index(ordered_blocks(df.select(*order), order, "ties"))
-    hits = numbered.filter(F.col("_row").isin(list(ranks))).collect()
-    return {h["_row"]: tuple(h[c] for c in order) for h in hits}
+        blocks = ordered_blocks(cells, order, "ties")
+        running = running_totals(blocks, [], {"_upto": F.col("_n")}, keys_lead_order=True)
+    hit = F.lit(False)
+    for rank in ranks:
+        hit = hit | ((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank))
+    out = {}
+    for row in running.filter(hit).collect():
+        for rank in ranks:
+            if row["_upto"] - row["_n"] <= rank < row["_upto"]:
+                out[rank] = tuple(row[c] for c in order)
+    return out
 
 
 def before_key(

@@ -42,7 +42,8 @@ def with_split(df: DataFrame, train_frac: float = 0.8, name: str = "split") -> D
     """Tag the first ``floor(n * train_frac)`` rows in ledger order ``train``, the rest ``test``.
 
     The row at the cut is found by selection; tagging is then a comparison of
-    each row with that one key, so no row is sorted or shuffled.
+    each row with that one key, so no row is sorted or shuffled. Rows that agree
+    in ledger, time and hash are not told apart and stay on one side.
     """
     n = df.count()
     (early,) = _cuts(df, [int(n * train_frac)], n)

@@ -161,6 +161,21 @@ def test_one_burst_at_one_time(spark):
     assert_same(build_features(df, hot_rows=50), brute_force(rows))
 
 
+@pytest.mark.parametrize("ties", ["peers", "positional"])
+def test_copies_of_one_transaction(spark, ties):
+    """A third of all rows are the same row; both plans give the same values, whichever copy has them."""
+    rows = random_rows(120, 10)
+    rows += [rows[60]] * 60
+    df = spark.createDataFrame(rows, SCHEMA)
+    a = build_features(df, ties=ties)
+    b = build_features(df, ties=ties, hot_rows=20)
+    rounded = lambda f: sorted(
+        (r["hash"], *(round(r[c], 9) for c in FEATURE_COLUMNS)) for r in f.collect()
+    )
+    assert rounded(a) == rounded(b)
+    assert a.filter("hash = 'h00060'").count() == 61
+
+
 def test_tie_example(spark):
     at = [0, 300, 300, 360]
     rows = [

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators.ordering import cut_keys
 from riskweave.operators.split import (
     class_quota,
     feature_vector,
@@ -36,6 +37,16 @@ def test_temporal_split_is_exact(spark):
         assert sorted(r["hash"] for r in test.collect()) == sorted(r[0] for r in order[cut:])
 
 
+def test_split_with_copies(spark):
+    """Copies of one key are counted, not sorted, and fall on one side."""
+    df, rows = ledger_rows(spark, 60, ledgers=1)
+    more = df.unionByName(df.filter("hash = 'h0030'").crossJoin(spark.range(40)).drop("id"))
+    keys = cut_keys(more.select("ledger_index", "hash"), ["ledger_index", "hash"], [29, 35, 75], 100, limit=10)
+    assert keys == {29: (0, "h0029"), 35: (0, "h0030"), 75: (0, "h0035")}
+    train, test = temporal_split(more, 0.5)
+    assert train.count() == 30 and test.count() == 70
+
+
 def test_split_tag_needs_no_shuffle(spark):
     df, _ = ledger_rows(spark, 50)
     plan = with_split(df)._jdf.queryExecution().executedPlan().toString()
