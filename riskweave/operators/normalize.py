@@ -67,17 +67,17 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["account", "timestamp"])
 
 
-def profile_load(raw: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row: raw and kept counts, column count, time range, accounts."""
-    before = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    after = kept.agg(
-        F.count(F.lit(1)).alias("kept_rows"),
-        F.min("timestamp").alias("first_time"),
-        F.max("timestamp").alias("last_time"),
-        F.count_distinct("account").alias("accounts"),
+def profile_load(raw: DataFrame) -> DataFrame:
+    """One row, in one pass: raw and kept counts, column count, time range, accounts."""
+    kept = F.col("account").isNotNull() & F.col("timestamp").isNotNull()
+    return normalize(raw).agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.lit(len(raw.columns)).cast("bigint").alias("raw_columns"),
+        F.count_if(kept).alias("kept_rows"),
+        F.min(F.when(kept, F.col("timestamp"))).alias("first_time"),
+        F.max(F.when(kept, F.col("timestamp"))).alias("last_time"),
+        F.count_distinct(F.when(kept, F.col("account"))).alias("accounts"),
     )
-    # Both sides are one-row aggregates.
-    return before.withColumn("raw_columns", F.lit(len(raw.columns))).join(after, how="full")
 
 
 def profile_types(kept: DataFrame) -> DataFrame:

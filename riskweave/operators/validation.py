@@ -54,7 +54,11 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str, limit: int = SELECTIO
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
     cells = written_table(cells, "ks")
-    if cells.count() <= limit:
+    size = cells.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")
+    ).first()
+    n_a, n_b = F.lit(size["a"]).cast("bigint"), F.lit(size["b"]).cast("bigint")
+    if size["n"] <= limit:
         upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
         running = cells.select(F.sum("a").over(upto).alias("ra"), F.sum("b").over(upto).alias("rb"))
     else:
@@ -64,11 +68,13 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str, limit: int = SELECTIO
             {"ra": F.col("a"), "rb": F.col("b")},
             keys_lead_order=True,
         ).select("ra", "rb")
-    # One row.
-    totals = cells.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    distance = F.abs(F.col("ra") / F.col("n_a") - F.col("rb") / F.col("n_b"))
-    stat = running.join(F.broadcast(totals)).groupBy("n_a", "n_b").agg(F.max(distance).alias("ks_stat"))
-    return stat.withColumn("ks_p_value", kolmogorov_p(F.col("ks_stat"), F.col("n_a"), F.col("n_b")))
+    stat = running.agg(F.max(F.abs(F.col("ra") / n_a - F.col("rb") / n_b)).alias("ks_stat"))
+    return stat.select(
+        n_a.alias("n_a"),
+        n_b.alias("n_b"),
+        "ks_stat",
+        kolmogorov_p(F.col("ks_stat"), n_a, n_b).alias("ks_p_value"),
+    )
 
 
 def score_separation(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -81,7 +87,7 @@ def score_separation(df: DataFrame, column: str, n: int | None = None) -> DataFr
     )
 
 
-def flag_rate(scored: DataFrame, flag: str = "risk_flag") -> Column:
+def flag_rate(flag: str = "risk_flag") -> Column:
     return F.avg(F.col(flag).cast("double"))
 
 
@@ -92,24 +98,23 @@ def validate(train_scored: DataFrame, test_scored: DataFrame, score: str = "anom
     """
     train = written_table(train_scored.select(score, "risk_flag"), "train-scores")
     test = written_table(test_scored.select(score, "risk_flag"), "test-scores")
-    ks = ks_two_sample(train, test, score)
-    sep = score_separation(test, score)
-    train_rate = train.agg(flag_rate(train).alias("train_flag_rate"))
-    test_rate = test.agg(flag_rate(test).alias("test_flag_rate"))
-    # All four frames have one row.
-    row = train_rate.join(test_rate).join(ks).join(sep)
-    drift = F.abs(F.col("train_flag_rate") - F.col("test_flag_rate"))
+    ks = ks_two_sample(train, test, score).first()
+    sep = score_separation(test, score).first()
+    train_rate, test_rate = (side.agg(flag_rate().alias("r")).first()["r"] for side in (train, test))
     metrics = {
-        "train_flag_rate": F.col("train_flag_rate"),
-        "test_flag_rate": F.col("test_flag_rate"),
-        "rate_drift": drift,
-        "ks_stat": F.col("ks_stat"),
-        "ks_p_value": F.col("ks_p_value"),
-        "score_separation": F.col("score_separation"),
-        "test_score_mean": F.col("score_mean"),
-        "test_score_std": F.col("score_std"),
+        "train_flag_rate": train_rate,
+        "test_flag_rate": test_rate,
+        "rate_drift": abs(train_rate - test_rate),
+        "ks_stat": ks["ks_stat"],
+        "ks_p_value": ks["ks_p_value"],
+        "score_separation": sep["score_separation"],
+        "test_score_mean": sep["score_mean"],
+        "test_score_std": sep["score_std"],
     }
-    return row.select(*[F.round(c, 4).alias(n) for n, c in metrics.items()])
+    row = train.sparkSession.createDataFrame(
+        [tuple(metrics.values())], ", ".join(f"{m} double" for m in metrics)
+    )
+    return row.select(*[F.round(m, 4).alias(m) for m in metrics])
 
 
 def verdicts(metrics: DataFrame, min_separation: float = MIN_SEPARATION) -> DataFrame:
@@ -134,7 +139,7 @@ def cv_folds(df: DataFrame, n_splits: int = 5, seed: int = SEED, trees: int = 20
     for fold in range(1, n_splits + 1):
         model = IsolationForest(seed=seed, trees=trees).fit(segmented.filter(F.col("segment") < fold))
         test = model.transform(segmented.filter(F.col("segment") == fold))
-        rate = test.agg(flag_rate(test).alias("r")).first()["r"]
+        rate = test.agg(flag_rate().alias("r")).first()["r"]
         out.append((fold, float(model.contamination), float(rate)))
     return df.sparkSession.createDataFrame(
         out, "fold int, contamination double, test_flag_rate double"

@@ -155,10 +155,9 @@ def normalize_filter(spark, sf_dir):
 
 def profile_load(spark, sf_dir):
     raw = readers.conform_raw(events_as_raw(spark, sf_dir))
-    out = nz.profile_load(raw, nz.drop_incomplete(nz.normalize(raw)))
-    return out.select(
+    return nz.profile_load(raw).select(
         "raw_rows",
-        F.col("raw_columns").cast("bigint").alias("raw_columns"),
+        "raw_columns",
         "kept_rows",
         micros("first_time").alias("first_us"),
         micros("last_time").alias("last_us"),
