@@ -523,7 +523,7 @@ def model_roundtrip(spark, sf_dir):
     return loaded.transform(both).select("hash", "before", F.col("raw_score").alias("after"))
 
 
-def run_pipeline(spark, sf_dir):
+def end_to_end(spark, sf_dir):
     """Raw records to alerts, scored by a model trained on the same history."""
     rows = pl.drop_incomplete(pl.normalize(events_as_raw(spark, sf_dir)))
     return pl.run_pipeline(spark, rows, n_splits=0, window="7 days")
@@ -669,7 +669,7 @@ def build_queries() -> dict[str, Query]:
         "topk_flagged": topk_flagged,
         "score_batch": score_batch,
         "model_roundtrip": model_roundtrip,
-        "run_pipeline": run_pipeline,
+        "end_to_end": end_to_end,
         "stream_normalize": stream_normalize,
         "stream_dedup": stream_dedup,
         "stream_features": stream_features,
