@@ -2,12 +2,13 @@
 
 1. Each text becomes its set of hashed five-word shingles; equal sets are one class.
 2. Signatures of class representatives are cut into bands; equal bands make a bucket.
-3. In a bucket, pivots are paired with members of other components. A pair's signatures
-   are compared batch by batch; it is dropped as soon as the posterior probability that
-   the similarity reaches the threshold is below the chosen miss probability.
-4. Pairs left are confirmed on the full sets; links are joined into components.
-5. Buckets that still hold several components take new pivots, until every two members
-   were compared or are connected. No bucket lists all of its pairs, and none is cut.
+3. Each bucket pairs its most central member with the others. A pair's signatures are
+   compared batch by batch; it is dropped as soon as the posterior probability that the
+   similarity reaches the threshold is below the chosen miss probability. Pairs left are
+   confirmed on the full sets, and links are joined into components.
+4. Buckets whose other members are still in several components are finished in blocks of
+   bounded size: a task holds two blocks, compares members of different components in the
+   same way, and returns links only. So no list of all pairs is made, and none is cut.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BAND_ROWS = 4
 BATCH = 16
 #: Accepted probability that a pruned pair is a link after all.
 MISS = 1e-6
-#: Pivots of a bucket after the first round, one for each of so many groups of components.
-PIVOTS = 8
+#: Shingles in a block of a bucket that is finished in blocks.
+BLOCK_SHINGLES = 400_000
 #: Ids are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 CACHE_WORDS = 400_000
@@ -154,6 +155,19 @@ def least_matches(similarity: float, miss: float) -> list[int]:
     return least
 
 
+def alive_after(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarray:
+    """Indices of the rows whose signatures stay likely after every batch."""
+    alive = np.arange(len(left))
+    equal = np.zeros(len(left), dtype=np.int64)
+    for step, need in enumerate(least):
+        cols = slice(step * BATCH, (step + 1) * BATCH)
+        equal[alive] += (left[alive, cols] == right[alive, cols]).sum(axis=1)
+        alive = alive[equal[alive] >= need]
+        if not len(alive):
+            break
+    return alive
+
+
 def prune(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float) -> DataFrame:
     """Pairs (a, b) of nodes that the sequential comparison of signatures leaves."""
     sized = classes.select("node", "n_shingles", "signature")
@@ -179,12 +193,7 @@ def prune(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float)
                     ).reshape(-1, HASHES)
                     for c in ("s_a", "s_b")
                 )
-                alive = np.arange(b.num_rows)
-                equal = np.zeros(b.num_rows, dtype=np.int64)
-                for step, need in enumerate(least):
-                    cols = slice(step * BATCH, (step + 1) * BATCH)
-                    equal[alive] += (left[alive, cols] == right[alive, cols]).sum(axis=1)
-                    alive = alive[equal[alive] >= need]
+                alive = alive_after(left, right, least)
                 kept = b.select(["a", "b"]).take(pa.array(alive))
                 yield batch(arrow, {"a": kept.column("a"), "b": kept.column("b")})
 
@@ -220,13 +229,17 @@ def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    wanted = classes.select("node", "doc_id").join(nodes, "node", "left_semi")
+    return written_table(shingle_sets(docs, written_table(wanted, "wanted")), "sets")
+
+
 def confirm(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity_percent: int
 ) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.select("node", "doc_id").join(nodes, "node", "left_semi")
-    sets = written_table(shingle_sets(docs, written_table(wanted, "wanted")), "sets")
+    sets = sets_of(nodes, docs, classes)
     rows = pairs
     for side in ("a", "b"):
         rows = rows.join(
@@ -237,20 +250,86 @@ def confirm(
     return rows.filter(100 * common >= similarity_percent * union).select("a", "b")
 
 
-def _open_buckets(members: DataFrame, pivots: int) -> DataFrame:
-    """Buckets with several components and the pivots they take now."""
-    group = F.pmod(F.xxhash64("root"), F.lit(pivots))
-    picks = [F.min(F.when(group == k, F.struct("root", "node"))) for k in range(pivots)]
-    return (
-        members.groupBy("bucket")
-        .agg(
-            F.min("root").alias("lo"),
-            F.max("root").alias("hi"),
-            F.array_compact(F.array(*picks)).alias("pivots"),
-        )
-        .filter("lo <> hi")
-        .select("bucket", "pivots")
+def block_links(table: dict, percent: int, least: list[int]) -> list[tuple[int, int]]:
+    """Links between members of different components in one pair of blocks.
+
+    Members are compared through an inverted index of the shingles. Members of the largest
+    component aren't compared with each other, and what a link has joined needs no second.
+    """
+    nodes, roots, shingles = table["node"], table["root"], table["shingles"]
+    signature = table["signature"]
+    sizes = np.array([len(s) for s in shingles], dtype=np.int64)
+    names, component = np.unique(roots, return_inverse=True)
+    largest = np.bincount(component).argmax()
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    flat = np.concatenate(shingles)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    links = []
+    for x in np.flatnonzero(component != largest):
+        small, big = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        others = np.flatnonzero((component != component[x]) & (100 * small >= percent * big))
+        if not len(others):
+            continue
+        left = np.broadcast_to(signature[x], (len(others), HASHES))
+        others = others[alive_after(left, signature[others], least)]
+        if not len(others):
+            continue
+        low = np.searchsorted(flat, shingles[x], "left")
+        count = np.searchsorted(flat, shingles[x], "right") - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(nodes))[others]
+        for y in others[100 * common >= percent * (sizes[x] + sizes[others] - common)]:
+            if component[y] != component[x]:
+                links.append((int(nodes[x]), int(nodes[y])))
+                component[component == component[x]] = component[y]
+    return links
+
+
+def finish_in_blocks(
+    live: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, miss: float
+) -> DataFrame:
+    """Links (a, b) between members (bucket, node, root) of different components."""
+    sizes = live.join(classes.select("node", "n_shingles", "signature"), "node")
+    blocks = sizes.groupBy("bucket").agg(
+        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    )
+    sets = sets_of(live.select("node").distinct(), docs, classes)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = (
+        sizes.drop("n_shingles").join(blocks, "bucket").join(sets, "node")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("own", "other"))
+        .withColumn("hi", F.greatest("own", "other"))
+        .drop("own", "other", "blocks")
     )
+    least = least_matches(percent / 100, miss)
+
+    def compare(group: pa.Table) -> pa.Table:
+        shingles = group.column("shingles").combine_chunks()
+        edges = shingles.offsets.to_numpy()
+        flat = shingles.values.to_numpy()
+        links = block_links(
+            {
+                "node": group.column("node").to_numpy(),
+                "root": group.column("root").to_numpy(),
+                "shingles": [flat[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)],
+                "signature": np.frombuffer(
+                    b"".join(group.column("signature").to_pylist()), dtype=np.uint32
+                ).reshape(-1, HASHES),
+            },
+            percent,
+            least,
+        )
+        return pa.table(
+            {
+                "a": pa.array([a for a, _ in links], pa.int64()),
+                "b": pa.array([b for _, b in links], pa.int64()),
+            }
+        )
+
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -283,53 +362,62 @@ def near_duplicates(
             for i in range(HASHES // BAND_ROWS)
         ]
     )
-    banded = classes.select(F.explode(keys).alias("bucket"), "node")
+    banded = classes.select(F.explode(keys).alias("bucket"), "node", "n_shingles")
     shared = (
-        banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .filter("lo <> hi").select("bucket")
+        banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     )
-    buckets = written_table(banded.join(shared, "bucket", "left_semi"), "buckets")
-    roots = links = tested = None
-    pivots = 1
-    while True:
-        if roots is None:
-            members = buckets.withColumn("root", F.col("node"))
-        else:
-            members = buckets.join(roots, "node", "left").select(
-                "bucket", "node", F.coalesce("root", "node").alias("root")
-            )
-        opened = _open_buckets(members, pivots)
-        live = written_table(members.join(opened, "bucket"), "members")
-        pairs = (
-            live.select("node", "root", F.explode("pivots").alias("p"))
-            .filter("p.root <> root")
-            .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            .distinct()
+    met = banded.join(shared, "bucket")
+    # Who shares its bands with most others stands in the middle of its group.
+    weights = met.groupBy("node").agg(F.sum("mates").alias("weight"))
+    # Linked sets differ in size by a bounded ratio: a bucket is split by size, each set
+    # being in its own class and the next, so that sets of like size share one.
+    size = F.floor(F.log("n_shingles") / math.log(100 / similarity_percent))
+    buckets = written_table(
+        met.join(weights, "node").select(
+            F.explode(F.transform(F.array(size, size + 1), lambda c: F.xxhash64("bucket", c))).alias("bucket"),
+            "node",
+            "weight",
+        ),
+        "buckets",
+    )
+    # First the most central member of each bucket meets the others ...
+    centres = buckets.groupBy("bucket").agg(
+        F.max(F.struct("weight", "node"))["node"].alias("centre"), F.count(F.lit(1)).alias("mates")
+    )
+    members = buckets.join(centres.filter("mates > 1"), "bucket").filter("node <> centre")
+    pairs = members.select(
+        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")
+    ).distinct()
+    left = written_table(prune(pairs, classes, similarity_percent / 100, miss), "likely")
+    links = written_table(confirm(left, docs, classes, similarity_percent), "confirmed")
+    roots = written_table(components(links), "roots")
+    # ... then buckets whose other members lie in several components are finished.
+    rooted = members.select("bucket", "node").join(roots, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root")
+    )
+    # Bands often make the same group; one bucket of each is enough.
+    opened = (
+        rooted.groupBy("bucket")
+        .agg(
+            F.min("root").alias("lo"),
+            F.max("root").alias("hi"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("group"),
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written_table(pairs, "pairs")
-        if live.isEmpty():
-            break
-        left = written_table(prune(pairs, classes, similarity_percent / 100, miss), "likely")
-        found = written_table(confirm(left, docs, classes, similarity_percent), "confirmed")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
+        .filter("lo <> hi")
+        .groupBy("group", "n")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket")
+    )
+    live = written_table(rooted.join(opened, "bucket", "left_semi"), "members")
+    if not live.isEmpty():
+        more = finish_in_blocks(live, docs, classes, similarity_percent, miss)
+        links = links.union(written_table(more, "confirmed"))
         roots = written_table(components(links), "roots")
-        # Pivots have met every member of another component and leave their buckets.
-        buckets = written_table(
-            live.filter(~F.array_contains(F.transform("pivots", lambda p: p["node"]), F.col("node")))
-            .select("bucket", "node"),
-            "buckets",
-        )
-        pivots = PIVOTS
     named = classes.select("node", "doc_id")
-    if roots is None:
-        named = named.withColumn("component_id", F.col("doc_id"))
-    else:
-        rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = rooted.join(names, "root")
+    rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(names, "root")
     labelled = features.select("doc_id", "n_shingles", "node").join(
         named.select("node", "component_id"), "node", "left"
     )
