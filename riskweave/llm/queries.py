@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from riskweave.llm.chat import format_chats
+from riskweave.llm.decontaminate import decontaminate
 from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.packing import pack_documents
 from riskweave.llm.repetition import repetition_rules
@@ -22,6 +24,14 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_chat_format(spark, sf_dir):
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_repetition(spark, sf_dir):
     return repetition_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,5 +64,5 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_repetition, op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing)
+    for f in (op1_chat_format, op2_decontaminate, op4_repetition, op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing)
 }

@@ -1,3 +1,64 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
 SQL: dict[str, str] = {}
+
+SQL["op1_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, turn, role, text,
+         coalesce(length(role)::VARCHAR || ':' || role, '-')
+         || coalesce(length(text)::VARCHAR || ':' || text, '-') || ';' AS part
+  FROM conversations
+), p AS (
+  SELECT conv_id, row_number() OVER w AS k, string_agg(part, '') OVER w AS prefix
+  FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
+               ROWS UNBOUNDED PRECEDING)
+), n AS (SELECT conv_id, max(k) AS n_turns FROM p GROUP BY conv_id),
+whole AS (
+  SELECT p.prefix, min(p.conv_id) AS conv_id, count(*) AS n_copies, any_value(n.n_turns) AS n_turns
+  FROM p JOIN n ON n.conv_id = p.conv_id AND n.n_turns = p.k GROUP BY p.prefix
+), shorter AS (
+  SELECT p.conv_id, p.prefix FROM p JOIN n ON n.conv_id = p.conv_id AND p.k < n.n_turns
+), kept AS (
+  SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM shorter s WHERE s.prefix = w.prefix)
+), snaps AS (
+  SELECT k.conv_id, count(*) AS n
+  FROM kept k JOIN shorter s ON s.conv_id = k.conv_id JOIN whole w ON w.prefix = s.prefix
+  GROUP BY k.conv_id
+)
+SELECT k.conv_id, k.n_turns, k.n_copies, coalesce(s.n, 0) AS n_snapshots,
+       (SELECT string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
+                          || '<|im_end|>' || chr(10), ''
+                          ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+        FROM t WHERE t.conv_id = k.conv_id) AS chat
+FROM kept k LEFT JOIN snaps s ON s.conv_id = k.conv_id
+"""
+SQL["op2_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), bw AS (
+  SELECT item_id, least(10, len(w)) AS n, w[i + 1 : i + least(10, len(w))] AS g
+  FROM (SELECT *, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM bw), dw AS (
+  SELECT doc_id, i, n, w[i + 1 : i + n] AS g
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)
+), h AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.g = dw.g),
+hw AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
+), hi AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM h GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(hw.n_hit, 0) AS n_hit,
+       coalesce(hi.n_items, 0) AS n_items, sha256(coalesce(hi.items, '')) AS items_sha256,
+       coalesce(hw.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
