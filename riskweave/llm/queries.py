@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.chat import format_chats
 from riskweave.llm.decontaminate import decontaminate
+from riskweave.llm.line_dedup import dedup_lines
+from riskweave.llm.lm import score_documents
 from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.packing import pack_documents
 from riskweave.llm.repetition import repetition_rules
@@ -32,10 +34,21 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op4_repetition(spark, sf_dir):
     return repetition_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lm_scores(spark, sf_dir):
+    return score_documents(read(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -64,5 +77,5 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontaminate, op4_repetition, op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing)
+    for f in (op1_chat_format, op2_decontaminate, op3_line_dedup, op4_repetition, op5_lm_scores, op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing)
 }

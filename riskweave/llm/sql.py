@@ -62,3 +62,33 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(hw.n_hit, 0) AS n_hit,
        coalesce(hw.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
+SQL["op3_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i AS line_no, line, list_filter(
+           regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+), k AS (SELECT * FROM l WHERE len(w) >= 5),
+u AS (SELECT w, min((doc_id, line_no)) AS first FROM k GROUP BY w),
+v AS (SELECT w, first, len(w) AS n, unnest(range(len(w))) AS i FROM u),
+e AS (SELECT w, first, n, i, w[1 : i] || w[i + 2 :] AS rest FROM v),
+sub AS (SELECT n, i, rest, min(first) AS first FROM e GROUP BY n, i, rest),
+del AS (SELECT rest, min(first) AS first FROM e GROUP BY rest),
+near AS (
+  SELECT e.w FROM e JOIN sub s ON s.n = e.n AND s.i = e.i AND s.rest = e.rest
+  WHERE s.first < e.first
+  UNION SELECT e.w FROM e JOIN u ON u.w = e.rest WHERE u.first < e.first
+  UNION SELECT u.w FROM u JOIN del ON del.rest = u.w WHERE del.first < u.first
+), f AS (
+  SELECT l.doc_id, l.line_no, l.line,
+         u.w IS NOT NULL AND u.first <> (l.doc_id, l.line_no) AS exact,
+         u.w IS NOT NULL AND u.first = (l.doc_id, l.line_no)
+           AND EXISTS (SELECT 1 FROM near WHERE near.w = l.w) AS near
+  FROM l LEFT JOIN u ON u.w = l.w
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact,
+       count(*) FILTER (WHERE near) AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no)
+                       FILTER (WHERE NOT exact AND NOT near), '')) AS text_sha256
+FROM f GROUP BY doc_id
+"""
