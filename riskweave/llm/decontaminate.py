@@ -77,10 +77,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = {n: (K, WINDOW - K + 1) if n == WINDOW else (n, 1) for n in lengths}
     sizes = sorted({k for k, _ in kinds.values()})
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"))
+    # Grams are a column of their own: inside a lambda they would be made again for each word.
     words = docs.withColumn("words", words_of(F.col("text")))
+    for k in sizes:
+        words = words.withColumn(f"_grams{k}", _grams(F.col("words"), k))
     prints = F.array().cast("array<bigint>")
     for k, span in kinds.values():
-        prints = F.array_union(prints, _winnowed(_grams(F.col("words"), k), span))
+        prints = F.array_union(prints, _winnowed(F.col(f"_grams{k}"), span))
     base = written_table(
         words.select("doc_id", "_k", F.size("words").cast("long").alias("n_words"), prints.alias("prints")),
         "prints",

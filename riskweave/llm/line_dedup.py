@@ -227,8 +227,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         line_verdicts(keyed.select("_doc", "_k", "text")), "dropped"
     ).withColumnsRenamed({"_doc": "_doc2", "_k": "_k2"})
     same = F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_k") == F.col("_k2"))
-    joined = keyed.join(dropped, same, "left")
-    lines = F.split("text", "\n")
+    # Lines are a column of their own: inside a lambda the text would be split for each line.
+    joined = keyed.join(dropped, same, "left").withColumn("_lines", F.split("text", "\n"))
+    lines = F.col("_lines")
     gone = F.coalesce(F.col("dropped.line_no"), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
