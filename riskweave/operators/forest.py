@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskweave.functions import clip
-from riskweave.operators.ordering import SELECTION_LIMIT, exact_quantiles
+from riskweave.operators.ordering import exact_quantiles
 from riskweave.operators.scaling import RobustScaler, calibrate_contamination
 from riskweave.operators.split import present_features
 from riskweave.session import written_table
@@ -27,6 +27,8 @@ SAMPLE = 256
 SEED = 42
 EULER_GAMMA = 0.5772156649015329
 
+#: Cells of the histogram of training scores, which lie in (0, 1).
+SCORE_CELLS = 1 << 17
 #: Steps of the stored distribution of training scores.
 GRID = 1000
 #: Rows scored at a time inside a batch: rows x trees working arrays that stay in cache.
@@ -57,6 +59,7 @@ class ForestModel:
     grid: list[float]
     trained_rows: int
     metrics: dict[str, float] = field(default_factory=dict)
+    _shared: tuple | None = field(default=None, repr=False, compare=False)
 
     def _arrays(self) -> dict[str, np.ndarray]:
         """Complete trees, level by level: a leaf hands its path down to the left."""
@@ -81,9 +84,13 @@ class ForestModel:
 
     def raw_scorer(self, df: DataFrame):
         """A column of structs (raw, pct) over the scaled feature columns."""
-        shared = df.sparkSession.sparkContext.broadcast(
-            {**self._arrays(), "norm": average_path(self.sample), "grid": np.asarray(self.grid)}
-        )
+        context = df.sparkSession.sparkContext
+        # One broadcast per model and context: a stream scores batch after batch.
+        if self._shared is None or self._shared[:2] != (context, self.grid):
+            arrays = {**self._arrays(), "norm": average_path(self.sample)}
+            sent = context.broadcast({**arrays, "grid": np.asarray(self.grid)})
+            self._shared = (context, self.grid, sent)
+        shared = self._shared[2]
 
         @F.pandas_udf("raw double, pct double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -143,6 +150,20 @@ def _score(x: np.ndarray, m: dict) -> np.ndarray:
     return np.power(2.0, -depth / m["norm"]) if m["norm"] else np.full(len(x), 0.5)
 
 
+def score_grid(scores: DataFrame) -> list[float]:
+    """Marks of the distribution of ``raw`` in steps of 1/GRID, by one rule at every size.
+
+    Scores are counted in SCORE_CELLS cells of equal width, so at most so many rows reach
+    the driver; a mark is the lower edge of the cell that holds its rank.
+    """
+    cell = F.least(F.floor(F.col("raw") * SCORE_CELLS), F.lit(SCORE_CELLS - 1)).cast("int")
+    cells = scores.groupBy(cell.alias("cell")).count().toPandas().sort_values("cell")
+    upto = cells["count"].to_numpy().cumsum()
+    ranks = np.arange(GRID + 1) / GRID * (upto[-1] - 1)
+    at = np.searchsorted(upto, np.floor(ranks), side="right")
+    return (cells["cell"].to_numpy()[at] / SCORE_CELLS).tolist()
+
+
 class IsolationForest:
     """Estimator: ``IsolationForest(...).fit(features).transform(features)``."""
 
@@ -152,8 +173,11 @@ class IsolationForest:
         trees: int = TREES,
         sample: int = SAMPLE,
         seed: int = SEED,
+        pool_factor: float = 2.0,
     ):
         self.contamination, self.trees, self.sample, self.seed = contamination, trees, sample, seed
+        #: Trees draw their rows from a pool of about this many times ``trees * sample`` rows.
+        self.pool_factor = pool_factor
 
     def fit(self, df: DataFrame, columns: Sequence[str] | None = None) -> ForestModel:
         """Fit on all rows of ``df``, which is read several times: pass a table."""
@@ -172,13 +196,7 @@ class IsolationForest:
         model = ForestModel(columns, scaler, nodes, sample, contamination, 0.0, [0.0, 1.0], n)
         scores = written_table(df.select(model.raw_scorer(df).getField("raw").alias("raw")), "scores")
         model.threshold = exact_quantiles(scores, ["raw"], [1.0 - contamination], n)["raw"][0]
-        marks = [k / GRID for k in range(GRID + 1)]
-        quantile = (
-            F.percentile("raw", F.lit(marks))
-            if n <= SELECTION_LIMIT
-            else F.percentile_approx("raw", marks, 100 * GRID)
-        )
-        model.grid = list(scores.agg(quantile.alias("g")).first()["g"])
+        model.grid = score_grid(scores)
         return model
 
     def fit_predict(self, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -215,7 +233,7 @@ class IsolationForest:
 
         Each row has a pseudo-random number from its own content and the seed,
         so the same rows are drawn however they are partitioned. Only rows below
-        a bound that lets through about twice ``trees * sample`` are ranked.
+        a bound that lets through about ``pool_factor * trees * sample`` are ranked.
         """
         wanted = self.trees * sample
         keys = [c for c in ("hash", "account", "ledger_index", "close_time") if c in scaled.columns]
@@ -225,10 +243,10 @@ class IsolationForest:
             identity.append(F.monotonically_increasing_id())
         draw = F.xxhash64(F.lit(self.seed), *identity)
         rows = scaled.select(draw.alias("_draw"), *keys, *columns)
-        if n > 2 * wanted:
-            # xxhash64 is uniform on the signed 64-bit range.
-            bound = int(-(2**63) + 2**64 * (2 * wanted / n))
-            rows = rows.filter(F.col("_draw") < F.lit(bound))
+        # xxhash64 is uniform on the signed 64-bit range.
+        share = min(1.0, self.pool_factor * wanted / n)
+        bound = min(int(-(2**63) + 2**64 * share), 2**63 - 1)
+        rows = rows.filter(F.col("_draw") <= F.lit(bound))
         order = W.orderBy("_draw", *keys, *columns)
         numbered = rows.select(
             (F.row_number().over(order) - 1).cast("bigint").alias("_i"), *columns

@@ -269,16 +269,19 @@ def exact_quantiles(
         return {c: [None] * len(probs) for c in columns}
     if n <= limit:
         row = df.agg(*[F.percentile(c, F.lit(probs)).alias(c) for c in columns]).first()
-        return {c: list(row[c]) for c in columns}
-    at = [divmod((n - 1) * p, 1) for p in probs]
-    ranks = {int(k) for k, _ in at} | {min(int(k) + 1, n - 1) for k, _ in at}
-    found = select_ranks(df, {c: ranks for c in columns}, n, limit)
-    out = {}
-    for c in columns:
-        pairs = [
-            (found[(c, int(k))][0], found[(c, min(int(k) + 1, n - 1))][0], f) for k, f in at
-        ]
-        out[c] = [a + (b - a) * f for a, b, f in pairs]
+        return {c: list(row[c] or [None] * len(probs)) for c in columns}
+    # NULLs have no rank, and columns may differ in how many they have.
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    out: dict[str, list] = {c: [None] * len(probs) for c in columns}
+    for size in sorted(set(sizes.values()) - {0}):
+        same = [c for c in columns if sizes[c] == size]
+        at = [divmod((size - 1) * p, 1) for p in probs]
+        ranks = {int(k) for k, _ in at} | {min(int(k) + 1, size - 1) for k, _ in at}
+        found = select_ranks(df, {c: ranks for c in same}, size, limit)
+        for c in same:
+            for i, (k, f) in enumerate(at):
+                a, b = found[(c, int(k))][0], found[(c, min(int(k) + 1, size - 1))][0]
+                out[c][i] = a if f == 0 or a == b else a + (b - a) * f
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import clip
+from riskweave.functions.scalar import finite_or_zero
 from riskweave.operators.ordering import exact_quantiles
 
 # Fixed values of the calibration.
@@ -21,7 +22,10 @@ CONTAMINATION_RANGE = (0.01, 0.15)
 
 @dataclass(frozen=True)
 class RobustScaler:
-    """(x - median) / IQR per column; a column without spread is only centred."""
+    """(x - median) / IQR per column; a column without spread is only centred.
+
+    NULL, NaN and infinite values count as 0, when fitting and when scaling.
+    """
 
     columns: tuple[str, ...]
     median: tuple[float, ...]
@@ -29,7 +33,7 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], n: int | None = None) -> RobustScaler:
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        doubles = df.select(*[finite_or_zero(F.col(c).cast("double")).alias(c) for c in columns])
         q = exact_quantiles(doubles, columns, [0.25, 0.5, 0.75], n)
         return cls(
             tuple(columns),
@@ -39,7 +43,7 @@ class RobustScaler:
 
     def scaled(self, column: str) -> Column:
         i = self.columns.index(column)
-        return (F.col(column).cast("double") - self.median[i]) / (self.iqr[i] or 1.0)
+        return (finite_or_zero(F.col(column).cast("double")) - self.median[i]) / (self.iqr[i] or 1.0)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: self.scaled(c) for c in self.columns})

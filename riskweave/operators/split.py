@@ -14,27 +14,44 @@ from riskweave.schema import FEATURE_COLUMNS
 
 #: Row order of a split: by ledger, then time, then hash.
 SPLIT_ORDER = ["ledger_index", "_us", "hash"]
+#: What a NULL is in the split order: it sorts after all values.
+LAST_NUMBER, LAST_TEXT = 2**63 - 1, "\U0010ffff"
 
 
 def _with_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    order = [c for c in SPLIT_ORDER if c == "_us" or c in df.columns]
-    if "close_time" in df.columns:
-        return df.withColumn("_us", F.unix_micros("close_time")), order
-    return df, [c for c in order if c != "_us"]
+    keys = _sort_keys(df)
+    return df.select(*[c.alias(name) for name, c in keys.items()]), list(keys)
+
+
+def _sort_keys(df: DataFrame) -> dict[str, Column]:
+    """Order columns without NULLs: a NULL sorts after all values."""
+    keys = {}
+    for name in SPLIT_ORDER:
+        if name == "_us" and "close_time" in df.columns:
+            keys[name] = F.coalesce(F.unix_micros("close_time"), F.lit(LAST_NUMBER))
+        elif name in df.columns:
+            text = df.schema[name].dataType.typeName() == "string"
+            kind = "string" if text else "bigint"
+            last = F.lit(LAST_TEXT if text else LAST_NUMBER)
+            keys[name] = F.coalesce(F.col(name).cast(kind), last)
+    return keys
 
 
 def _cuts(df: DataFrame, ranks: Sequence[int], n: int) -> list[Column]:
-    """For each rank, the condition 'this row comes before the row at that rank'."""
+    """For each rank, the condition 'this row comes before the row at that rank'.
+
+    The condition is true or false for every row, also where order columns are NULL.
+    """
     staged, order = _with_order(df)
     inside = [r for r in ranks if 0 < r < n]
-    keys = cut_keys(staged.select(*order), order, inside, n) if inside else {}
-    micros = F.unix_micros("close_time") if "close_time" in df.columns else None
+    keys = cut_keys(staged, order, inside, n) if inside else {}
+    columns = _sort_keys(df)
     out = []
     for r in ranks:
         if r <= 0 or r >= n:
             out.append(F.lit(r >= n))
         else:
-            out.append(before_key(order, keys[r], {"_us": micros}))
+            out.append(before_key(order, keys[r], columns))
     return out
 
 
@@ -42,8 +59,9 @@ def with_split(df: DataFrame, train_frac: float = 0.8, name: str = "split") -> D
     """Tag the first ``floor(n * train_frac)`` rows in ledger order ``train``, the rest ``test``.
 
     The row at the cut is found by selection; tagging is then a comparison of
-    each row with that one key, so no row is sorted or shuffled. Rows that agree
-    in ledger, time and hash are not told apart and stay on one side.
+    each row with that one key, so no row is sorted or shuffled. NULLs sort last.
+    Rows that agree in ledger, time and hash are not told apart and go to the
+    test side together, so ``train`` may be short by the copies of the cut row.
     """
     n = df.count()
     (early,) = _cuts(df, [int(n * train_frac)], n)

@@ -57,6 +57,12 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str, limit: int = SELECTIO
     size = cells.agg(
         F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")
     ).first()
+    if not size["a"] or not size["b"]:
+        # Nothing to compare with: the counts are known, the rest is NULL.
+        counts = (size["a"] or 0, size["b"] or 0, None, None)
+        return cells.sparkSession.createDataFrame(
+            [counts], "n_a long, n_b long, ks_stat double, ks_p_value double"
+        )
     n_a, n_b = F.lit(size["a"]).cast("bigint"), F.lit(size["b"]).cast("bigint")
     if size["n"] <= limit:
         upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
@@ -104,7 +110,7 @@ def validate(train_scored: DataFrame, test_scored: DataFrame, score: str = "anom
     metrics = {
         "train_flag_rate": train_rate,
         "test_flag_rate": test_rate,
-        "rate_drift": abs(train_rate - test_rate),
+        "rate_drift": None if None in (train_rate, test_rate) else abs(train_rate - test_rate),
         "ks_stat": ks["ks_stat"],
         "ks_p_value": ks["ks_p_value"],
         "score_separation": sep["score_separation"],
@@ -122,7 +128,7 @@ def verdicts(metrics: DataFrame, min_separation: float = MIN_SEPARATION) -> Data
     return metrics.withColumns(
         {
             "high_drift": F.col("rate_drift") > MAX_DRIFT,
-            "distribution_shift": F.col("ks_p_value") < MIN_P_VALUE,
+            "distribution_shift": F.col("ks_p_value") <= MIN_P_VALUE,
             "low_separation": F.col("score_separation") < min_separation,
         }
     )
