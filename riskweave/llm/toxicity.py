@@ -90,9 +90,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_nnpu(
     positive: _Rows, unlabelled: _Rows, n: int, prior: float,
-    steps: int = 300, rate: float = 0.1, l1: float = 3e-4,
+    steps: int = 300, rate: float = 0.1, l1: float = 0.01,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk (Adam steps, soft threshold)."""
+    """Weights and bias that minimise the non-negative risk (Adam steps, soft threshold).
+
+    The threshold falls with the square root of the positives, as the noise of means does.
+    """
+    l1 = min(l1 / math.sqrt(max(positive.rows, 1)), 1e-3)
     w, b = np.zeros(n), 0.0
     m, s = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
