@@ -12,39 +12,112 @@ shares neither with any other has no partner and makes no variants.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.arrow import batch, map_batches, slices
 from riskweave.session import written_table
 
 MIN_WORDS = 5
-#: Document keys are broadcast up to so many rows, else joined by shuffle.
+#: Line numbers are broadcast up to so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
-_BLANKS = r"[ \t\x0B\f\r]+"
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SUB, DEL, FULL = 0, 1, 2
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """_doc, _k, line_no and words of every line with MIN_WORDS words or more."""
-    split = docs.select("_doc", "_k", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.array_remove(F.split("line", _BLANKS), "")
-    return split.select("_doc", "_k", "line_no", words.alias("words"))
-
-
-def _half_keys(words: Column) -> Column:
+def _half_keys(words: list[bytes]) -> list[int]:
     """Hashes of the halves that one edit may leave alone, for both lengths of the pair."""
-    n = F.size(words)
+    n = len(words)
     keys = []
     for m in (n, n - 1):
-        half = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), m, F.slice(words, 1, half)))
-        keys.append(F.xxhash64(F.lit("last"), m, F.slice(words, n - (m - half) + 1, m - half)))
-    return F.array(*keys)
+        half = m // 2
+        keys.append(_digest(b"first %d " % m + b" ".join(words[:half])))
+        keys.append(_digest(b"last %d " % m + b" ".join(words[n - (m - half) :])))
+    return keys
+
+
+_digest = xxhash.xxh3_64_intdigest
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """_doc, _k, line_no, h1, h2 and halves of every line with MIN_WORDS words or more."""
+
+    def make(arrow):
+        def run(batches):
+            for b in slices(batches, 500):
+                owner, number, names, halves = [], [], [], []
+                for at, text in enumerate(b.column("_text").to_pylist()):
+                    for no, line in enumerate(text.split(b"\n") if text else ()):
+                        words = line.split()  # at ASCII white space
+                        if len(words) >= MIN_WORDS:
+                            owner.append(at)
+                            number.append(no)
+                            name = xxhash.xxh3_128_intdigest(b" ".join(words))
+                            names.append((name >> 64, name & _MASK))
+                            halves += _half_keys(words)
+                named = np.array(names, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                flat = pa.array(np.array(halves, dtype=np.uint64).view(np.int64))
+                edges = pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32))
+                owner = pa.array(owner, pa.int64())
+                yield batch(
+                    arrow,
+                    {
+                        "_doc": b.column("_doc").take(owner),
+                        "_k": b.column("_k").take(owner),
+                        "line_no": number,
+                        "h1": named[:, 0],
+                        "h2": named[:, 1],
+                        "halves": pa.ListArray.from_arrays(edges, flat),
+                    },
+                )
+
+        return run
+
+    kind = docs.schema["_doc"].dataType.simpleString()
+    return map_batches(
+        docs.select("_doc", "_k", F.col("text").cast("binary").alias("_text")),
+        f"_doc {kind}, _k long, line_no int, h1 long, h2 long, halves array<long>",
+        make,
+    )
+
+
+def _words_of_lines(docs: DataFrame) -> DataFrame:
+    """_doc, _k, line_no and words of the lines that ``wanted`` lists for each document."""
+
+    def make(arrow):
+        def run(batches):
+            for b in slices(batches, 200):
+                owner, number, words = [], [], []
+                wanted = b.column("wanted").to_pylist()
+                for at, text in enumerate(b.column("_text").to_pylist()):
+                    lines = text.split(b"\n")
+                    for no in wanted[at]:
+                        owner.append(at)
+                        number.append(no)
+                        words.append([w.decode() for w in lines[no].split()])
+                owner = pa.array(owner, pa.int64())
+                yield batch(
+                    arrow,
+                    {
+                        "_doc": b.column("_doc").take(owner),
+                        "_k": b.column("_k").take(owner),
+                        "line_no": number,
+                        "words": words,
+                    },
+                )
+
+        return run
+
+    kind = docs.schema["_doc"].dataType.simpleString()
+    return map_batches(
+        docs.select("_doc", "_k", F.col("text").cast("binary").alias("_text"), "wanted"),
+        f"_doc {kind}, _k long, line_no int, words array<string>",
+        make,
+    )
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -139,19 +212,7 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     apart) and text.
     """
     # A line is named by two 64-bit hashes; texts aren't shuffled to find equal lines.
-    occurrences = written_table(
-        _lines(docs)
-        .filter(F.size("words") >= MIN_WORDS)
-        .select(
-            "_doc",
-            "_k",
-            "line_no",
-            F.xxhash64("words").alias("h1"),
-            F.xxhash64(F.lit(1), "words").alias("h2"),
-            _half_keys(F.col("words")).alias("halves"),
-        ),
-        "lines",
-    )
+    occurrences = written_table(_occurrences(docs), "lines")
     distinct = written_table(
         occurrences.groupBy("h1", "h2").agg(
             F.min(F.struct("_doc", "_k", "line_no")).alias("id"), F.first("halves").alias("halves")
@@ -167,25 +228,28 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
         halves.join(shared, "half", "left_semi").select("id", "h1", "h2").distinct(), "likely-lines"
     )
     # Their words, read again from the documents in which they stand first.
-    owners = likely.select("id._doc", "id._k").distinct()
-    if owners.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        owners = F.broadcast(owners)
-    same = docs["_doc"].eqNullSafe(owners["_doc"]) & (docs["_k"] == owners["_k"])
-    again = _lines(docs.join(owners, same, "left_semi"))
-    again = again.select(F.struct("_doc", "_k", "line_no").alias("id"), "words").distinct()
-    named = likely.select(F.col("id").alias("_id"))
+    wanted = likely.groupBy(F.col("id._doc").alias("_doc2"), F.col("id._k").alias("_k2")).agg(
+        F.collect_list("id.line_no").alias("wanted")
+    )
+    if likely.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    # Rows equal in both keys are copies of one text; one of them is enough.
+    same = docs["_doc"].eqNullSafe(wanted["_doc2"]) & (docs["_k"] == wanted["_k2"])
+    again = _words_of_lines(docs.join(wanted, same))
     words = written_table(
-        again.join(named, F.col("id").eqNullSafe(F.col("_id"))).drop("_id"), "words"
+        again.select(F.struct("_doc", "_k", "line_no").alias("id"), "words").distinct(), "words"
     )
     variants = written_table(_variants(words), "variants")
-    firsts = variants.groupBy("key").agg(
+    # Most variants are alone: they are counted by key before any are compared.
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = written_table(variants.join(shared, "key", "left_semi"), "met-variants")
+    firsts = met.groupBy("key").agg(
         *[
             F.min(F.when(F.col("kind") == kind, F.col("id"))).alias(name)
             for kind, name in ((SUB, "sub"), (DEL, "del"), (FULL, "full"))
-        ],
-        F.count(F.lit(1)).alias("n"),
+        ]
     )
-    met = variants.join(firsts.filter("n > 1"), "key")
+    met = met.join(firsts, "key")
     partner = (
         F.when(F.col("kind") == SUB, F.col("sub"))
         .when(F.col("kind") == DEL, F.col("full"))
