@@ -219,13 +219,14 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
         ),
         "distinct-lines",
     )
-    halves = distinct.select(F.explode("halves").alias("half"), "h1", "h2", "id")
+    halves = distinct.select(F.explode("halves").alias("half"), "h1", "h2")
     shared = (
         halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
         .filter("lo <> hi").select("half")
     )
+    names = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
     likely = written_table(
-        halves.join(shared, "half", "left_semi").select("id", "h1", "h2").distinct(), "likely-lines"
+        distinct.select("id", "h1", "h2").join(names, ["h1", "h2"], "left_semi"), "likely-lines"
     )
     # Their words, read again from the documents in which they stand first.
     wanted = likely.groupBy(F.col("id._doc").alias("_doc2"), F.col("id._k").alias("_k2")).agg(
