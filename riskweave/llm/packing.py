@@ -14,8 +14,6 @@ nothing. Sequence and step ids carry the task's number.
 
 from __future__ import annotations
 
-import functools
-import os
 import zlib
 from collections import deque
 
@@ -25,11 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches, slices
+from riskweave.llm.arrow import batch, map_batches
+from riskweave.llm.word_ids import byte_slices, word_ids
 
-#: Distinct words whose ids a task remembers at a time.
-CACHE_WORDS = 800_000
-CACHE_CHARS = 64
 #: Pieces that wait in a task before a pool is packed.
 POOL_PIECES = 4096
 #: Id bits below a task's number.
@@ -41,69 +37,6 @@ PIECE = (
 )
 
 
-class WordIds:
-    """Ids of texts by a tokenizer that never joins what white space separates."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of new words; a word may be several pre-tokens."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        begins = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
-        widths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        edges = np.concatenate([[0], np.cumsum(widths)])
-        ends = np.searchsorted(begins, edges) * 4
-        data = ids.tobytes()
-        self.known.update(
-            zip(words, map(data.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True)
-        )
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        split = [split_words(t) if t else () for t in texts]
-        found = [list(map(known.get, words)) for words in split]
-        new: list[str] = []
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                new += {w for w, i in zip(words, ids, strict=True) if i is None}
-        if new:
-            new = list(set(new))
-            for i in range(0, len(new), 5000):
-                self.learn(new[i : i + 5000])
-            found = [
-                list(map(known.__getitem__, words)) if None in ids else ids
-                for words, ids in zip(split, found, strict=True)
-            ]
-            for w in new:
-                if len(w) > CACHE_CHARS:
-                    del known[w]
-        return [b"".join(ids) for ids in found]
-
-
-def split_words(text: str) -> list[str]:
-    """Pieces between ASCII white space, which no token crosses."""
-    if text.isascii():
-        text = text.lower()  # the tokenizer does the same; fewer different words
-    for blank in "\n\t\r\x0b\x0c":
-        if blank in text:
-            text = text.replace(blank, " ")
-    return text.split(" ")
-
-
-@functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 class Packer:
     """Packs pieces (document, start, length) of one task into windows of the tiers."""
 
@@ -221,7 +154,7 @@ def pack_documents(
 
     ``tokenizer`` is the path of a tokenizer file that every executor has and that drops
     white space. A document is its ids and ``end_id``; NULL and empty texts are the end id
-    alone. Each id lies in exactly one piece. Repeated rows and NULL ids are documents of
+    alone; invalid UTF-8 is read as U+FFFD. Each id lies in exactly one piece. Repeated rows and NULL ids are documents of
     their own. ``tier`` is the window length, ``step_group`` numbers groups of windows of
     one tier with ``windows_per_step * max_tokens`` tokens. A task's last windows, at most
     one per power of two for each pool, may be shorter than the shortest tier.
@@ -230,7 +163,6 @@ def pack_documents(
         raise ValueError("tiers are powers of two up to max_tokens")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {PIECE}"
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def make(arrow):
         def run(batches):
@@ -238,7 +170,7 @@ def pack_documents(
             base = TaskContext.get().partitionId() << TASK_BITS
             packer = Packer(tiers, windows_per_step * max_tokens, base)
             keys: list = []
-            ids: list[bytes] = []
+            ids: list[memoryview] = []
 
             def flush():
                 packer.pack()
@@ -262,13 +194,18 @@ def pack_documents(
                 return batch(arrow, columns)
 
             held = 0
-            for b in slices(batches, 256):
-                encoded = words.many(b.column("_text").to_pylist())
-                for key, found in zip(b.column(id_col).to_pylist(), encoded, strict=True):
-                    ids.append(found + tail)
+            for b in byte_slices(batches, "_text"):
+                found, ends = words.encode(b.column("_text"))
+                raw = memoryview(np.insert(found, ends, end_id).astype("<u4").tobytes())
+                ends = 4 * (ends + np.arange(1, len(ends) + 1))
+                begins = np.concatenate([[0], ends[:-1]])
+                for key, i, j in zip(
+                    b.column(id_col).to_pylist(), begins.tolist(), ends.tolist(), strict=True
+                ):
+                    ids.append(raw[i:j])
                     keys.append(key)
-                    held += len(found)
-                    packer.add(len(keys) - 1, len(found) // 4 + 1)
+                    packer.add(len(keys) - 1, (j - i) // 4)
+                held += len(raw)
                 if packer.waiting >= POOL_PIECES or held >= 32_000_000:
                     held = 0
                     yield flush()

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.chat import format_chats
 from riskweave.llm.decontaminate import decontaminate
+from riskweave.llm.fill_in_middle import fill_in_middle, restored
 from riskweave.llm.line_dedup import dedup_lines
 from riskweave.llm.lm import score_documents
 from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.packing import pack_documents
 from riskweave.llm.repetition import repetition_rules
 from riskweave.llm.resample import resample
+from riskweave.llm.reversed_search import reversed_search
 from riskweave.llm.token_counts import token_counts
+from riskweave.llm.token_files import token_files
 from riskweave.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -75,7 +78,29 @@ def op10_packing(spark, sf_dir):
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("shard")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return restored(fill_in_middle(docs).drop("text")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_reversed_search(spark, sf_dir):
+    return reversed_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontaminate, op3_line_dedup, op4_repetition, op5_lm_scores, op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing)
-}
+    for f in (
+        op1_chat_format, op2_decontaminate, op3_line_dedup, op4_repetition, op5_lm_scores,
+        op6_near_dedup, op7_resample, op8_token_counts, op9_toxicity, op10_packing,
+        op11_token_files, op12_fill_in_middle, op13_reversed_search,
+    )
+}
