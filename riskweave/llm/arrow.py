@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,8 +21,34 @@ def map_batches(
     df: DataFrame, schema: str, make: Callable[[pa.Schema], Callable[[Rows], Rows]]
 ) -> DataFrame:
     """``mapInArrow`` for functions that build their batches from an Arrow schema."""
-    arrow = to_arrow_schema(struct_of(schema))
-    return df.mapInArrow(make(arrow), schema)
+    run = make(to_arrow_schema(struct_of(schema)))
+
+    def go(batches: Rows) -> Rows:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(go, schema)
+
+
+def release_memory() -> None:
+    """Give free memory back: worker processes live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def valid_text(texts: pa.Array) -> pa.Array:
+    """Strings without NULL; invalid bytes are read as U+FFFD, as Python's decoder has it."""
+    texts = texts.cast(pa.string()).fill_null("")
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        raw = texts.cast(pa.binary()).to_pylist()
+        return pa.array([t.decode("utf-8", "replace") for t in raw], type=pa.string())
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -55,13 +55,14 @@ def _winnowed(grams: Column, span: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, row_hash: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document.
 
     A window is WINDOW consecutive words of an item; an item of fewer words is one window.
     A document word inside an occurrence of a window is hit. NULL or empty texts have no
     words; items without words have no windows. Repeated documents get equal results, and
-    repeated item_ids count once. An item_id of NULL hits words but isn't counted. Items
+    repeated item_ids count once. On request ``row_hash``, xxhash64(doc_id, text), tells
+    rows of one doc_id apart. An empty table gives no rows. An item_id of NULL hits words but isn't counted. Items
     shorter than WINDOW are matched by hashes of their whole length, one length at a time
     (at most WINDOW - 1 lengths).
     """
@@ -111,7 +112,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         places = grams if places is None else places.union(grams)
     if places is None:
-        return _result(base, None)
+        done = _result(base, None)
+        return done if row_hash else done.drop("row_hash")
     diagonals = (
         places.join(known.filter("chosen"), "h")
         .select("doc_id", "_k", "item_id", "item", (F.col("p") - F.col("q")).alias("d"))
@@ -119,7 +121,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("item_id", "item", "d")).alias("matches"))
     )
     found = _both(suspect_words, diagonals, "inner")
-    return _result(base, found.select("doc_id", "_k", _spans().alias("spans")))
+    done = _result(base, found.select("doc_id", "_k", _spans().alias("spans")))
+    return done if row_hash else done.drop("row_hash")
 
 
 def _item_grams(items: DataFrame, kinds: dict[int, tuple[int, int]]) -> DataFrame:
@@ -174,7 +177,7 @@ def _spans() -> Column:
 def _result(base: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         marked = base.select(
-            "doc_id", "n_words", F.lit(0).alias("hit"), F.array().cast("array<string>").alias("names")
+            "doc_id", "_k", "n_words", F.lit(0).alias("hit"), F.array().cast("array<string>").alias("names")
         )
     else:
         hit = F.size(
@@ -195,4 +198,5 @@ def _result(base: DataFrame, found: DataFrame | None) -> DataFrame:
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+        F.col("_k").alias("row_hash"),
     )

@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches
+from riskweave.llm.arrow import batch, map_batches, valid_text
 from riskweave.llm.boundary_set import BoundarySet
-from riskweave.llm.word_ids import byte_slices, valid_text
+from riskweave.llm.word_ids import byte_slices
 
 # The marks of the parts.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"

@@ -98,7 +98,7 @@ def _words_of_lines(docs: DataFrame) -> DataFrame:
                     for no in wanted[at]:
                         owner.append(at)
                         number.append(no)
-                        words.append([w.decode() for w in lines[no].split()])
+                        words.append([w.decode("utf-8", "replace") for w in lines[no].split()])
                 owner = pa.array(owner, pa.int64())
                 yield batch(
                     arrow,
@@ -282,12 +282,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first earlier; whether that one stays itself doesn't matter. Shorter lines and line
     breaks stay. Adds n_lines, n_exact, n_near (long); a column of that name is replaced.
     NULL texts stay NULL with 0 lines, an empty text is one empty line; rows of equal
-    doc_id and text get equal results, and NULL doc_ids come first. No row is dropped.
+    doc_id and text get equal results, and NULL doc_ids come first. Lines are told apart by
+    their bytes; invalid UTF-8 is compared as U+FFFD. Other columns are kept whatever their
+    names. No row is dropped.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_doc", "_k")]
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     keyed = docs.select(
-        *kept, F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_k")
-    )
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "text",
+        F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_k"),
+    )
     dropped = written_table(
         line_verdicts(keyed.select("_doc", "_k", "text")), "dropped"
     ).withColumnsRenamed({"_doc": "_doc2", "_k": "_k2"})
@@ -300,10 +303,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     near = F.size(F.filter("dropped", lambda d: d["near"]))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left)
-    others = [c for c in kept if c != "text"]
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
+        *[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in kept],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped") - near).cast("long").alias("n_exact"),
         F.when(F.col("dropped").isNull(), 0).otherwise(near).cast("long").alias("n_near"),
-    ).select(*others, "text", "n_lines", "n_exact", "n_near")
+    )

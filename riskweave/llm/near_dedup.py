@@ -35,7 +35,7 @@ MISS = 1e-6
 BLOCK_SHINGLES = 400_000
 #: Ids are broadcast up to so many rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SHINGLES_AT_ONCE = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +102,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set) and signature of every document."""
+    """doc_id, text_hash, n_shingles, node (a hash of the set) and signature of every row."""
 
     def make(arrow):
         def run(batches):
@@ -119,6 +119,7 @@ def document_features(docs: DataFrame) -> DataFrame:
                     arrow,
                     {
                         "doc_id": b.column("doc_id"),
+                        "text_hash": b.column("text_hash"),
                         "n_shingles": [len(s) for s in sets],
                         "node": [set_hash(s) for s in sets],
                         "signature": signature,
@@ -128,9 +129,11 @@ def document_features(docs: DataFrame) -> DataFrame:
         return run
 
     return map_batches(
-        docs.select("doc_id", F.col("text").cast("binary").alias("_text")),
+        docs.select(
+            "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text")
+        ),
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-        "n_shingles long, node long, signature binary",
+        "text_hash long, n_shingles long, node long, signature binary",
         make,
     )
 
@@ -335,13 +338,15 @@ def finish_in_blocks(
 def near_duplicates(
     docs: DataFrame, similarity_percent: int = 75, miss: float = MISS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+    """doc_id, n_shingles, component_id, kept, text_hash and group of every document.
 
     Documents are linked when their shingle sets have a Jaccard similarity of at least
     ``similarity_percent``; a component is what links connect, named by its smallest doc_id;
     kept is doc_id = component_id. Documents without words (NULL, empty, blank) are their own
     components. Equal texts, and texts of equal sets, are one node. Repeated rows of a doc_id
-    get equal results. A NULL doc_id never names a component that has another one.
+    get equal results. A NULL doc_id never names a component that has another one. Where
+    doc_ids are NULL or repeat with other texts, text_hash (xxhash64 of the text) tells their
+    rows apart and ``group`` the components (NULL without words). An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     features = written_table(document_features(docs), "features")
@@ -418,8 +423,8 @@ def near_duplicates(
     rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(names, "root")
-    labelled = features.select("doc_id", "n_shingles", "node").join(
-        named.select("node", "component_id"), "node", "left"
+    labelled = features.select("doc_id", "text_hash", "n_shingles", "node").join(
+        named.select("node", "component_id", "root"), "node", "left"
     )
     # All sets without words have the same hash, but are linked with nothing.
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -428,4 +433,6 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
+        F.when(F.col("n_shingles") > 0, F.col("root")).alias("group"),
     )

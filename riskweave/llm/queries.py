@@ -53,7 +53,7 @@ def op5_lm_scores(spark, sf_dir):
 
 
 def op6_near_dedup(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op7_resample(spark, sf_dir):

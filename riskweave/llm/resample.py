@@ -20,7 +20,7 @@ from riskweave.operators.ordering import select_ranks
 from riskweave.session import written_table
 
 BUCKETS = 10_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Labels are broadcast up to so many target rows, else joined by shuffle.
 BROADCAST_ROWS = 500_000
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches, slices
+from riskweave.llm.arrow import batch, map_batches, slices, valid_text
 
 # The pre-token pattern of byte-level merge tables.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,7 +147,7 @@ def token_counts(
     """``docs`` with n_bytes, n_tokens and over_limit of the whole text.
 
     ``vocabulary`` is the path of a byte-level vocabulary file that every executor has.
-    NULL and empty texts have 0 bytes and 0 tokens. Rows, repeated ones too, stay one to
+    NULL and empty texts have 0 bytes and 0 tokens; invalid UTF-8 is read as U+FFFD. Rows, repeated ones too, stay one to
     one, and other columns are kept; one that has the name of a result is replaced. There
     is no shuffle: a task keeps only a bounded number of counts.
     """
@@ -162,7 +162,7 @@ def token_counts(
         def run(batches):
             table = merge_table(vocabulary)
             for b in slices(batches, 2000):
-                texts = b.column("_text").to_pylist()
+                texts = valid_text(b.column("_text")).to_pylist()
                 tokens = [table.count(t) for t in texts]
                 out = {c: b.column(c) for c in kept}
                 out["n_bytes"] = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]

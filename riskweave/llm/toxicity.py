@@ -26,11 +26,13 @@ MAX_POSITIVE = 1500
 MAX_UNLABELLED = 6000
 #: Word beginnings of these lengths are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: A feature counts at most so often in a text, and needs so many positive texts.
+# Parameters of the classifier. A feature's value is its count in the text, CAP at most; it
+# needs MIN_POSITIVE_TEXTS positive texts; of more than MAX_FEATURES those in most
+# positive texts are used.
 CAP = 3
 MIN_POSITIVE_TEXTS = 8
 MAX_FEATURES = 30_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -180,7 +182,9 @@ def fit_toxicity(
     chosen = smallest(toxic, key, max_positive)  # at most max_positive ids
     texts = docs.select("doc_id", "text").filter(in_training & F.col("text").isNotNull())
     positives = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
-    positives = positives.withColumn("_p", F.lit(True)).limit(2 * max_positive)
+    # Of rows that share a doc_id the text of the smallest hash stands for the document.
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    positives = positives.groupBy("doc_id").agg(least.alias("text")).withColumn("_p", F.lit(True))
     others = smallest(texts, key, max_unlabelled).withColumn("_p", F.lit(False))
     sample = positives.unionByName(others)
     ordered = sample.repartition(1).sortWithinPartitions(F.desc("_p"), "doc_id", "text")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from riskweave.llm.arrow import valid_text
 from riskweave.llm.token_counts import PRETOKEN, byte_letters
 
 #: Different words whose ids a process remembers at most.
@@ -33,17 +34,6 @@ INNER = re.compile(r"[^\S ]")
 BLANKS = b"\t\n\x0b\x0c\r"
 
 
-def valid_text(texts: pa.Array) -> pa.Array:
-    """Strings without NULL; invalid bytes are read as U+FFFD, as Python's decoder has it."""
-    texts = texts.cast(pa.string()).fill_null("")
-    try:
-        texts.validate(full=True)
-        return texts
-    except pa.ArrowInvalid:
-        raw = texts.cast(pa.binary()).to_pylist()
-        return pa.array([t.decode("utf-8", "replace") for t in raw], type=pa.string())
-
-
 def byte_slices(batches, column: str, rows: int = 4000, size: int = 8_000_000) -> Iterator:
     """Cut batches to slices of few rows and, but for one longer text, few bytes of ``column``."""
     for b in batches:

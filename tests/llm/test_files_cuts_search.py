@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from riskweave.llm import reversed_search as search_module
 from riskweave.llm import simple8b, token_files
 from riskweave.llm.boundary_set import BoundarySet
-from riskweave.llm.fill_in_middle import fill_in_middle, restored, transform
+from riskweave.llm.fill_in_middle import fill_in_middle, restore, restored, transform
 from riskweave.llm.reversed_search import reversed_search
 from riskweave.llm.word_ids import IdTable, WordIds, byte_slices
 
@@ -215,8 +215,6 @@ def test_marks_across_cuts_are_restored():
         for text in ("<<P", "<S<P<M>"[:-1], "P>S>M><<", "<P <S <M"):
             n, form, _, _, out = transform(text, key)
             forms.add(form)
-            from riskweave.llm.fill_in_middle import restore
-
             assert restore(out, form) == text
     assert forms == {"plain", "psm", "spm"}
 
