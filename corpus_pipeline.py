@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages of riskweave.llm, each on what its predecessor kept."""
+"""The corpus pipeline: five stages of riskweave.llm, each on what its predecessor kept.
+
+A document is a row: rows of one doc_id with different texts are told apart by a hash of
+the text, and NULL is a doc_id like others. Every stage takes an empty table, and keeps
+NULL and empty texts unless its docstring says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -14,24 +19,34 @@ from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.packing import pack_documents
 from riskweave.llm.queries import fold
 from riskweave.llm.toxicity import fit_toxicity, toxicity_scores
-from riskweave.session import scratch_dir
+from riskweave.session import scratch_dir, written_table
 
 
-def _key(df: DataFrame) -> DataFrame:
-    """With a hash of the text, which tells rows of one doc_id apart."""
-    return df.withColumn("_t", F.xxhash64("text"))
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text hash (_doc, _hash) aren't in ``gone``."""
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(gone.select("_doc", "_hash").distinct(), same, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold of toxicity; the labels come from ``sf_dir``."""
+    """Documents scored below the threshold of toxicity; the labels come from ``sf_dir``.
+
+    NULL and empty texts score the bias alone and stay unless most texts are toxic.
+    Repeated rows get equal scores.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, fold(3) != 1)
-    scored = toxicity_scores(docs, model)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = toxicity_scores(rows, model).filter("predicted = 0")
+    return kept.select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are taken out; a document goes if it had lines and all were repeats."""
+    """Repeated lines are taken out; a document goes if it had lines and all were repeats.
+
+    NULL texts (no lines) and empty ones (one short line) stay. Rows of equal doc_id and
+    text stay or go together.
+    """
     done = dedup_lines(docs)
     left = done.filter(
         (F.col("n_lines") == 0) | (F.col("n_exact") + F.col("n_near") < F.col("n_lines"))
@@ -41,22 +56,45 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    out = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    out = out.withColumnRenamed("doc_id", "_gone")
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Of each group of near duplicates one row stays: the smallest doc_id, then text hash.
+
+    Exact repeats of that row go as well. Rows without words are in no group and stay.
+    """
+    found = near_duplicates(docs).filter(F.col("group").isNotNull())
+    found = written_table(found.select("group", "doc_id", "text_hash"), "near-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = found.groupBy("group").agg(F.min(order).alias("best"))
+    rows = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(best, "group").withColumn("first", order.eqNullSafe(F.col("best")))
+    rows = written_table(
+        rows.filter(~F.col("first") | (F.col("copies") > 1)).select(
+            F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "first"
+        ),
+        "near-rows",
+    )
+    left = _without(docs, rows)
+    repeated = rows.filter("first")
+    if repeated.isEmpty():
+        return left
+    # One of the equal rows comes back.
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    again = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; those without words stay.
+
+    Repeated rows stay or go together.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    hit = hit.withColumnRenamed("doc_id", "_gone")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    found = decontaminate(docs, benchmark, row_hash=True)
+    hit = found.filter("contaminated").select("row_hash").distinct()
+    return docs.join(hit, F.xxhash64("doc_id", "text") == F.col("row_hash"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left and their places in sequences."""
+    """Pieces of the documents left and their places in sequences; every row is a document."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
