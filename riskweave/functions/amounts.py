@@ -31,7 +31,7 @@ def pick_amount(*cols) -> Column:
 
 
 def parse_amount(raw) -> Column:
-    """Struct ``(value, currency, issuer, rejected)`` from a raw amount string.
+    """Struct ``(value, currency, issuer, rejected, unread)`` from a raw amount string.
 
     A whole number is a count of drops. A JSON object carries its own currency;
     the native one (also assumed when the key is missing) is again in drops.
@@ -47,7 +47,11 @@ def amount_object(text: Column) -> Column:
 
 
 def amount_struct(text: Column, obj: Column) -> Column:
-    """The amount from its trimmed text and, if that is JSON, its object."""
+    """The amount from its trimmed text and, if that is JSON, its object.
+
+    ``rejected`` marks broken JSON. ``unread`` marks all text that is there but has no
+    value: that, an object whose value is no number, plain text that isn't a whole number.
+    """
     malformed = obj["_corrupt_record"].isNotNull()
     good = obj.isNotNull() & ~malformed
     currency = F.coalesce(obj["currency"], F.lit(NATIVE_CURRENCY))
@@ -57,14 +61,30 @@ def amount_struct(text: Column, obj: Column) -> Column:
     value = F.when(good, obj_value).when(
         obj.isNull() & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint") / drops
     )
+    given = F.when(good, obj["value"]).otherwise(text)
+    unread = value.isNull() & given.isNotNull() & (F.trim(given) != "")
     return F.struct(
         value.alias("value"),
         F.when(good, currency).otherwise(F.lit(NATIVE_CURRENCY)).alias("currency"),
         F.when(good & ~native, obj["issuer"]).alias("issuer"),
         F.coalesce(malformed, F.lit(False)).alias("rejected"),
+        F.coalesce(malformed | unread, F.lit(False)).alias("unread"),
     )
 
 
+def number_as_amount(number: Column) -> Column:
+    """A number of drops as amount text: an object, as only whole text counts as drops."""
+    d = number.cast("double")
+    finite = ~(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")))
+    return F.when(finite, F.concat(F.lit('{"value":"'), d.cast("string"), F.lit('"}')))
+
+
+def number_as_whole(number: Column) -> Column:
+    """A number as text of its whole part."""
+    d = number.cast("double")
+    return F.when(F.abs(d) < float(1 << 63), d.cast("bigint").cast("string"))
+
+
 def parse_time(text, numeric_time: str = "null") -> Column:
     """Timestamp from ledger-style or ISO-8601 text; unparsable text is NULL.
 

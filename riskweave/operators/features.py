@@ -17,6 +17,7 @@ from riskweave.functions import (
     safe_div,
     shannon_entropy,
 )
+from riskweave.operators.linear_windows import with_window_measures
 from riskweave.operators.normalize import unify_schema
 from riskweave.schema import (
     DORMANCY_CAP,
@@ -28,10 +29,15 @@ from riskweave.schema import (
     OFFER_CREATE,
     Z_CLIP,
 )
+from riskweave.session import written_table
 
 #: Accounts with more rows than this take the split plan of ``hot_features``.
 HOT_ROWS = 100_000
-#: A list of hot accounts up to this long is broadcast; a longer one is shuffled.
+#: Windows of an account with more rows than this are measured before a plan is chosen ...
+SMALL_ROWS = 256
+#: ... and if a row's window holds so many rows on average, they run in linear time.
+DENSE_ROWS = 64
+#: A list of special accounts up to this long is broadcast; a longer one is shuffled.
 BROADCAST_ACCOUNTS = 50_000
 
 #: Order of one entity's rows, with the time as microseconds.
@@ -70,65 +76,116 @@ def build_features(
     ignore_empty_memo: bool = False,
     hot_rows: int = HOT_ROWS,
     keep: Sequence[str] = ("hash",),
+    look_ahead: bool = True,
 ) -> DataFrame:
     """The 18 features of every transaction that has an account and a time.
 
     Accounts of ordinary size are grouped by one exchange, in which every window
-    runs. Accounts beyond ``hot_rows`` would overload the task they hash to;
-    they are computed to the same values by plans that cut through the account
-    (see ``hot_features``). With none of those, the plan is the single exchange.
+    runs. Accounts whose windows hold many rows are grouped alike, but their
+    windows are running sums instead of sliding frames (see ``linear_windows``).
+    Accounts beyond ``hot_rows`` would overload the task they hash to; they are
+    computed by plans that cut through the account (see ``hot_features``). All
+    plans give the same values; with neither kind the plan is the single exchange.
 
     ``ties`` decides whether rows with an equal time see each other (``peers``)
     or only the ones before them in ledger order (``positional``). ``entity``
-    ``('account', 'currency')`` keeps the currencies of an account apart.
+    ``('account', 'currency')`` keeps the currencies of an account apart. An amount is
+    ranked in its account's whole history; without ``look_ahead`` among the rows so far,
+    itself included (see ``asof_rank``), as a live scorer would see it.
     """
     opts = FeatureOptions(
         duration_us(window), rows, min_rows, ties, tuple(entity), ignore_empty_memo
     )
-    base = prepare(df, opts)
-    hot, n_hot = hot_entities(base, opts.entity, hot_rows)
-    if n_hot == 0:
-        return project(grouped_features(base, opts), keep)
+    rows = unify_schema(df).dropna(subset=["account", "close_time"])
+    special, plans = special_entities(rows, opts, hot_rows)
+    if not plans:
+        return project(grouped_features(_ranked_so_far(prepare(df, opts), opts, look_ahead), opts), keep)
     from riskweave.operators.hot_features import split_features
 
-    if n_hot <= BROADCAST_ACCOUNTS:
-        hot = F.broadcast(hot)
-    keys = list(opts.entity)
-    cold_rows = base.join(hot, keys, "left_anti")
-    hot_part = base.join(hot, keys, "left_semi")
-    both = grouped_features(cold_rows, opts).select(*_staged(base)).unionByName(
-        split_features(hot_part, opts).select(*_staged(base))
-    )
-    return project(both, keep)
+    if sum(plans.values()) <= BROADCAST_ACCOUNTS:
+        special = F.broadcast(special)
+    marked = rows.join(special, list(opts.entity), "left")
+
+    def part(condition: Column, features) -> DataFrame:
+        base = prepare(marked.filter(condition).drop("_plan"), opts)
+        base = _ranked_so_far(base, opts, look_ahead)
+        return features(base, opts).select(*_staged(base))
+
+    out = part(F.col("_plan").isNull(), grouped_features)
+    if LINEAR in plans:
+        linear = part(F.col("_plan") == LINEAR, lambda base, o: grouped_features(base, o, linear=True))
+        out = out.unionByName(linear)
+    if SPLIT in plans:
+        out = out.unionByName(part(F.col("_plan") == SPLIT, split_features))
+    return project(out, keep)
+
+
+LINEAR, SPLIT = "linear", "split"
+
+
+def _ranked_so_far(base: DataFrame, opts: FeatureOptions, look_ahead: bool) -> DataFrame:
+    """``base``, with the rank of each amount so far unless the whole history counts."""
+    if look_ahead:
+        return base
+    from riskweave.operators.asof_rank import amounts_so_far
 
+    return amounts_so_far(base, opts.entity, ROW_ORDER)
 
-def hot_entities(base: DataFrame, entity: Sequence[str], hot_rows: int) -> tuple[DataFrame, int]:
-    """Entities with more than ``hot_rows`` rows, and how many there are."""
-    counts = base.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select(*entity)
-    return hot, hot.count()
+
+def special_entities(
+    rows: DataFrame, opts: FeatureOptions, hot_rows: int
+) -> tuple[DataFrame | None, dict[str, int]]:
+    """Entities with another plan than the sliding frames, and how many have which.
+
+    A table of the entities is written, as it is read for every plan. How many rows a
+    window holds is counted only where there are entities of more than SMALL_ROWS rows.
+    """
+    keys = list(opts.entity)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.agg(
+        F.count_if(F.col("_n") > hot_rows).alias("hot"),
+        F.count_if(F.col("_n") > SMALL_ROWS).alias("large"),
+    ).first()
+    if not found["large"] and not found["hot"]:
+        return None, {}
+    special = counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(SPLIT).alias("_plan"))
+    if found["large"]:
+        large = counts.filter((F.col("_n") > SMALL_ROWS) & (F.col("_n") <= hot_rows)).select(*keys)
+        if found["large"] <= BROADCAST_ACCOUNTS:
+            large = F.broadcast(large)
+        block = F.floor(F.unix_micros("close_time") / opts.window_us)
+        cells = rows.join(large, keys, "left_semi").groupBy(*keys, block.alias("_b")).count()
+        # Rows of one block see each other, about; a block's square is the work of its frames.
+        work = cells.groupBy(*keys).agg(
+            F.sum(F.col("count").cast("double") * F.col("count")).alias("_work"),
+            F.sum("count").alias("_n"),
+        )
+        dense = work.filter(F.col("_work") > DENSE_ROWS * F.col("_n"))
+        special = special.unionByName(dense.select(*keys, F.lit(LINEAR).alias("_plan")))
+    special = written_table(special, "plans")
+    return special, {r["_plan"]: r["count"] for r in special.groupBy("_plan").count().collect()}
 
 
 def prepare(df: DataFrame, opts: FeatureOptions) -> DataFrame:
-    """Canonical rows with everything that one row alone decides.
+    """Unified rows that have an account and a time, with everything that one row alone decides.
 
     The memo text itself goes no further than this: windows compare a key that
     is never longer than a digest.
     """
-    u = unify_schema(df).dropna(subset=["account", "close_time"])
+    rows = unify_schema(df).dropna(subset=["account", "close_time"])
     memo, amount = F.col("memo_text"), F.col("amount_value")
     # A digest key has 65 characters, so it never equals a short memo kept as is.
     memo_key = F.when(F.char_length(memo) <= 64, memo).otherwise(
         F.concat(F.lit("#"), F.sha2(memo, 256))
     )
     kind = F.col("transaction_type")
-    return u.select(
+    return rows.select(
         "account",
         *[c for c in opts.entity if c != "account"],
         "ledger_index",
         "close_time",
         "hash",
-        *(["label"] if "label" in u.columns else []),
+        *(["label"] if "label" in rows.columns else []),
         F.unix_micros("close_time").alias("_us"),
         "amount_value",
         "destination",
@@ -143,23 +200,33 @@ def prepare(df: DataFrame, opts: FeatureOptions) -> DataFrame:
     )
 
 
-def grouped_features(base: DataFrame, opts: FeatureOptions) -> DataFrame:
-    """All window features with one exchange on the entity."""
+def grouped_features(base: DataFrame, opts: FeatureOptions, linear: bool = False) -> DataFrame:
+    """All window features with one exchange on the entity.
+
+    ``linear`` takes the trailing-time measures from running sums, not sliding frames.
+    """
     keys = list(opts.entity)
     entity = W.partitionBy(*keys)
     by_amount = entity.orderBy("amount_value")
     same_amount = W.partitionBy(*keys, "amount_value")
     same_memo = W.partitionBy(*keys, "_memo").orderBy(*ROW_ORDER)
-    trailing = entity.orderBy("_us").rangeBetween(-(opts.window_us - 1), 0)
-    volume, count, dests, cancels, offers, failed = trailing_measures(trailing, opts)
+    measures = []
+    if linear:
+        base = with_window_measures(base, keys, opts.window_us, opts.ties)
+    else:
+        trailing = entity.orderBy("_us").rangeBetween(-(opts.window_us - 1), 0)
+        volume, count, dests, cancels, offers, failed = trailing_measures(trailing, opts)
+        measures = [
+            volume.alias("total_volume_5m"),
+            count.cast("double").alias("rolling_tx_count_5m"),
+            dests.alias("_dests"),
+            cancels.alias("_cancels"),
+            offers.alias("_offers"),
+            failed.alias("_fails"),
+        ]
     timed = base.select(
         "*",
-        volume.alias("total_volume_5m"),
-        count.cast("double").alias("rolling_tx_count_5m"),
-        dests.alias("_dests"),
-        cancels.alias("_cancels"),
-        offers.alias("_offers"),
-        failed.alias("_fails"),
+        *measures,
         (
             (F.rank().over(by_amount) + (F.count(F.lit(1)).over(same_amount) - 1) / 2)
             / F.count(F.lit(1)).over(entity)
@@ -273,13 +340,17 @@ def _staged(base: DataFrame) -> list[str]:
 
 def project(df: DataFrame, keep: Sequence[str] = ("hash",)) -> DataFrame:
     """Keys, the 18 features without NaN, infinity or NULL, and the label if any."""
+    if "_asof" in df.columns:
+        large = (F.col("_asof") >= LARGE_TX_PERCENTILE).cast("int")
+        df = df.withColumns({"tx_size_percentile_local": F.col("_asof"), "is_large_tx": large})
     features = [
         F.col(c).cast("int").alias(c) if c in INT_FEATURES else finite_or_zero(F.col(c)).alias(c)
         for c in FEATURE_COLUMNS
     ]
     label = [F.coalesce("label", F.lit(0)).alias("label")] if "label" in df.columns else []
+    filled = {"ledger_index": F.coalesce("ledger_index", F.lit(0)).alias("ledger_index")}
     keys = list(dict.fromkeys([*keep, "account", "ledger_index", "close_time"]))
-    return df.select(*keys, *features, *label)
+    return df.select(*[filled.get(c, c) for c in keys], *features, *label)
 
 
 def feature_quality(df: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ TREES = 200
 SAMPLE = 256
 SEED = 42
 EULER_GAMMA = 0.5772156649015329
+#: A score this close to the boundary lies on it: scorers differ in the last bit of a power.
+ON_BOUNDARY = 1e-12
 
 #: Cells of the histogram of training scores, which lie in (0, 1).
 SCORE_CELLS = 1 << 17
@@ -107,6 +109,15 @@ class ForestModel:
 
         return score(*[self.scaler.scaled(c) for c in self.columns])
 
+    def calibrate(self, train: DataFrame) -> ForestModel:
+        """Set the boundary and the score marks from the scores of the training rows."""
+        scores = train.select(self.raw_scorer(train).getField("raw").alias("raw"))
+        scores = written_table(scores, "scores")
+        marks = [1.0 - self.contamination]
+        self.threshold = exact_quantiles(scores, ["raw"], marks, self.trained_rows)["raw"][0]
+        self.grid = score_grid(scores)
+        return self
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Add raw_score, anomaly_score, score_pct and risk_flag.
 
@@ -120,7 +131,7 @@ class ForestModel:
             scored.withColumn("raw_score", F.col("_s.raw"))
             .withColumn("score_pct", F.col("_s.pct"))
             .withColumn("anomaly_score", clip(F.col("raw_score") - self.threshold, 0.0, 1.0))
-            .withColumn("risk_flag", F.col("raw_score") > self.threshold)
+            .withColumn("risk_flag", F.col("raw_score") > self.threshold + ON_BOUNDARY)
             .drop("_s")
         )
 
@@ -194,10 +205,7 @@ class IsolationForest:
         nodes = self.grow(scaled, columns, n, sample).toPandas()
         nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
         model = ForestModel(columns, scaler, nodes, sample, contamination, 0.0, [0.0, 1.0], n)
-        scores = written_table(df.select(model.raw_scorer(df).getField("raw").alias("raw")), "scores")
-        model.threshold = exact_quantiles(scores, ["raw"], [1.0 - contamination], n)["raw"][0]
-        model.grid = score_grid(scores)
-        return model
+        return model.calibrate(df)
 
     def fit_predict(self, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         return self.fit(df, columns).predict(df)

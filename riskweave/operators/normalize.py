@@ -15,13 +15,21 @@ AMOUNT_FIELDS = ["amount", "deliver_max", "taker_gets"]
 TIME_FIELDS = ["ledger_close_time_human", "date", "timestamp"]
 
 
-def normalize(df: DataFrame, numeric_time: str = "null", keep_rejects: bool = False) -> DataFrame:
+def normalize(
+    df: DataFrame,
+    numeric_time: str = "null",
+    keep_rejects: bool = False,
+    extras: bool = False,
+) -> DataFrame:
     """One projection over raw records; batch and streaming frames alike.
 
     With ``keep_rejects`` an array column ``_rejects`` names the fields that were
-    present but could not be parsed.
+    present but could not be parsed. With ``extras`` the columns success (from
+    the field result; true where there is none) and memo_text come along, for
+    the features that need them.
     """
-    raw = conform_raw(df)
+    memo = "memo_text" if "memo_text" in df.columns else None
+    raw = conform_raw(df, also=[memo] if memo else [])
     texts = raw.select(
         *[F.col(c) for c in raw.columns if c not in AMOUNT_FIELDS + TIME_FIELDS],
         F.trim(pick_amount(*AMOUNT_FIELDS)).alias("_text"),
@@ -46,13 +54,19 @@ def normalize(df: DataFrame, numeric_time: str = "null", keep_rejects: bool = Fa
         F.col("_amount.currency").alias("currency"),
         F.col("_amount.issuer").alias("issuer"),
     ]
+    if extras:
+        result = first_filled("result")
+        out += [
+            F.coalesce(result == SUCCESS_RESULT, F.lit(True)).alias("success"),
+            F.coalesce(F.col(memo) if memo else F.lit(None).cast("string"), F.lit("")).alias("memo_text"),
+        ]
     if keep_rejects:
         failed = lambda c, name: F.when(c, F.lit(name))
         present = lambda c: first_filled(c).isNotNull()
         out.append(
             F.array_compact(
                 F.array(
-                    failed(F.col("_amount.rejected"), "amount"),
+                    failed(F.col("_amount.unread"), "amount"),
                     failed(F.col("_time_text").isNotNull() & F.col("_time").isNull(), "time"),
                     failed(present("ledger_index") & whole("ledger_index").isNull(), "ledger_index"),
                     failed(present("fee") & whole("fee").isNull(), "fee"),

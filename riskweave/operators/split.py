@@ -6,11 +6,14 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.functions import finite_or_zero
 from riskweave.operators.ordering import before_key, cut_keys
 from riskweave.schema import FEATURE_COLUMNS
+from riskweave.session import written_table
 
 #: Row order of a split: by ledger, then time, then hash.
 SPLIT_ORDER = ["ledger_index", "_us", "hash"]
@@ -164,34 +167,95 @@ def draw_number(seed: int, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
+#: Rows of a class, about, that are ranked to find where its test rows end.
+CUT_ROWS = 4096
+#: Cells of a class at most, and classes at most in a broadcast table.
+MAX_CELLS = 65_536
+BROADCAST_CLASSES = 100_000
+
+
 def stratified_split(
     df: DataFrame, key: str, label: str = "label", test_frac: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Tag ``ceil(n * test_frac)`` random rows ``test``, each class in proportion.
 
-    A row's draw depends on the seed and its key only. Per class, the draw at
-    the class quota is found by selection, so a class of any size is cut without
-    being sorted. With one class this is a plain random split.
+    A row's draw depends on the seed and its key only. All classes are cut at once, any
+    number and size of them: the draws of a class are counted in cells, the cell that its
+    last test row lies in is found by running sums, and only that cell's rows are ranked.
+    Largest remainders are rounded up, the smaller class first. With one class this is a
+    plain random split.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = class_quota(counts, test_frac)
-    order = ["_draw", "_key"]
+    classes = written_table(df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n")), "classes")
+    sizes = classes.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    if not sizes["rows"]:
+        return df.withColumn("split", F.lit("train"))
+    quota = written_table(class_quotas(classes, sizes["rows"], sizes["classes"], test_frac), "quotas")
+    if sizes["classes"] <= BROADCAST_CLASSES:
+        quota = F.broadcast(quota)
     drawn = df.select(
-        F.col(label),
+        F.col(label).alias("_label"),
         draw_number(seed, F.col(key)).alias("_draw"),
         F.col(key).cast("string").alias("_key"),
     )
-    test = F.lit(False)
-    as_columns = {"_draw": draw_number(seed, F.col(key)), "_key": F.col(key).cast("string")}
-    for value, n in counts.items():
-        same = F.col(label).eqNullSafe(F.lit(value))
-        take = quota[value]
-        if take >= n:
-            test = test | same
-        elif take > 0:
-            cut = cut_keys(drawn.filter(same).select(*order), order, [take], n)[take]
-            test = test | (same & before_key(order, cut, as_columns))
-    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+    open_rows = drawn.join(quota, F.col("_label").eqNullSafe(F.col("_class"))).filter("_take > 0 AND _take < _n")
+    count = F.least(F.ceil(F.col("_n") / CUT_ROWS), F.lit(MAX_CELLS))
+    cell = F.floor(F.col("_draw") / float(1 << 52) * count)
+    open_rows = open_rows.select("_class", "_take", "_draw", "_key", cell.alias("_cell"))
+    cells = open_rows.groupBy("_class", "_take", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(W.partitionBy("_class").orderBy("_cell"))
+    before = F.col("_upto") - F.col("_rows")
+    edges = (
+        cells.withColumn("_upto", upto)
+        .filter((before < F.col("_take")) & (F.col("_take") <= F.col("_upto")))
+        .select(
+            F.col("_class").alias("_edge_class"), F.col("_cell").alias("_edge_cell"),
+            (F.col("_take") - before).alias("_need"),
+        )
+    )
+    if sizes["classes"] <= BROADCAST_CLASSES:
+        edges = F.broadcast(edges)
+    same = F.col("_class").eqNullSafe(F.col("_edge_class")) & (F.col("_cell") == F.col("_edge_cell"))
+    nth = F.row_number().over(W.partitionBy("_class").orderBy("_draw", "_key"))
+    cuts = (
+        open_rows.join(edges, same)
+        .withColumn("_nth", nth)
+        .filter("_nth = _need")
+        .select(F.col("_class").alias("_cut_class"), F.struct("_draw", "_key").alias("_cut"))
+    )
+    at = quota.join(cuts, F.col("_class").eqNullSafe(F.col("_cut_class")), "left")
+    at = written_table(at.select("_class", "_n", "_take", "_cut"), "cuts")
+    if sizes["classes"] <= BROADCAST_CLASSES:
+        at = F.broadcast(at)
+    draw = F.struct(draw_number(seed, F.col(key)).alias("_draw"), F.col(key).cast("string").alias("_key"))
+    test = (F.col("_take") >= F.col("_n")) | ((F.col("_take") > 0) & (draw <= F.col("_cut")))
+    joined = df.join(at, F.col(label).eqNullSafe(F.col("_class")))
+    tagged = joined.withColumn("split", F.when(test, "test").otherwise("train"))
+    return tagged.drop("_class", "_n", "_take", "_cut")
+
+
+def class_quotas(classes: DataFrame, rows: int, n_classes: int, test_frac: float) -> DataFrame:
+    """Test rows per class as ``_take``: proportional, largest remainders rounded up."""
+    wanted = math.ceil(rows * test_frac)
+    exact = F.lit(float(wanted)) * F.col("_n") / F.lit(float(rows))
+    number = isinstance(classes.schema["_class"].dataType, T.NumericType)
+    shares = classes.withColumns(
+        {
+            "_take": F.floor(exact),
+            "_short": F.floor(exact) - exact,
+            "_known": F.col("_class").isNotNull().cast("int"),
+            "_name": F.col("_class") if number else F.col("_class").cast("string"),
+        }
+    )
+    left = wanted - shares.agg(F.sum("_take")).first()[0]
+    if left <= 0:
+        more = F.lit(False)
+    elif left >= n_classes:
+        more = F.lit(True)
+    else:
+        order = ["_short", "_known", "_name"]
+        filled = shares.select("_short", "_known", "_name")
+        more = F.coalesce(before_key(order, cut_keys(filled, order, [left], n_classes)[left]), F.lit(False))
+    return shares.withColumn("_take", F.col("_take") + more.cast("long")).select("_class", "_n", "_take")
 
 
 def class_quota(counts: dict, test_frac: float) -> dict:

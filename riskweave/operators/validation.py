@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,10 +41,54 @@ def kolmogorov_p(statistic: Column, n_a: Column, n_b: Column) -> Column:
     return F.when(lam < 0.1, F.lit(1.0)).otherwise(p)
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, column: str, limit: int = SELECTION_LIMIT) -> DataFrame:
+#: Samples of up to so many rows each have an exact p-value.
+EXACT_ROWS = 10_000
+
+
+def exact_kolmogorov_p(distance: float, n_a: int, n_b: int) -> float:
+    """Two-sided p-value of a two-sample KS statistic, by counting lattice paths.
+
+    Shuffling both samples together is a random path from (0, 0) to (n_a, n_b); the
+    statistic reaches ``distance`` if the path leaves the band around the diagonal.
+    The chance to be at each point of a step's line, inside so far, is carried along,
+    and what leaves the band is added up, so that small values keep their precision.
+    """
+    whole = math.lcm(n_a, n_b)
+    reach = round(distance * whole)
+    if reach <= 0:
+        return 1.0
+    i = np.arange(n_a + 1, dtype=np.int64)
+    at = np.zeros(n_a + 1)  # chance to have taken i of sample a after the steps so far
+    at[0] = 1.0
+    left = 0.0
+    for step in range(n_a + n_b):
+        rest = n_a + n_b - step
+        low, high = max(0, step - n_b), min(n_a, step)
+        here = at[low : high + 1]
+        take = (n_a - i[low : high + 1]) / rest
+        after = np.zeros(high - low + 2)
+        after[1:] += here * take
+        after[:-1] += here * (1 - take)
+        # Now at step + 1: points low .. high + 1 of sample a.
+        a = np.arange(low, high + 2)
+        b = step + 1 - a
+        real = (a <= n_a) & (b >= 0) & (b <= n_b)
+        outside = real & (np.abs(a * (whole // n_a) - b * (whole // n_b)) >= reach)
+        left += float(after[outside].sum())
+        after[outside | ~real] = 0.0
+        at[:] = 0.0
+        at[a[real]] = after[real]
+    return min(max(left, 0.0), 1.0)
+
+
+def ks_two_sample(
+    a: DataFrame, b: DataFrame, column: str, limit: int = SELECTION_LIMIT, method: str = "asymptotic"
+) -> DataFrame:
     """One row: the largest distance of the two distribution functions, and its p-value.
 
-    Equal values are counted first; the cumulative counts then run over the
+    ``method`` 'asymptotic' takes the p-value from the limiting distribution, 'exact' from
+    a count of lattice paths (samples of up to EXACT_ROWS rows), 'auto' whichever of them
+    the sizes allow. Equal values are counted first; the cumulative counts then run over the
     distinct values, in one task if they are few and over blocks otherwise.
     """
     side = lambda df, x, y: df.select(
@@ -75,12 +122,15 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str, limit: int = SELECTIO
             keys_lead_order=True,
         ).select("ra", "rb")
     stat = running.agg(F.max(F.abs(F.col("ra") / n_a - F.col("rb") / n_b)).alias("ks_stat"))
-    return stat.select(
-        n_a.alias("n_a"),
-        n_b.alias("n_b"),
-        "ks_stat",
-        kolmogorov_p(F.col("ks_stat"), n_a, n_b).alias("ks_p_value"),
-    )
+    small = max(size["a"], size["b"]) <= EXACT_ROWS
+    if method == "exact" and not small:
+        raise ValueError(f"exact p-values are for samples of up to {EXACT_ROWS} rows")
+    p_value = kolmogorov_p(F.col("ks_stat"), n_a, n_b)
+    if method != "asymptotic" and small:
+        n = (size["a"], size["b"])
+        exact = F.udf(lambda d: exact_kolmogorov_p(d, *n), "double")  # called for one row
+        p_value = exact("ks_stat")
+    return stat.select(n_a.alias("n_a"), n_b.alias("n_b"), "ks_stat", p_value.alias("ks_p_value"))
 
 
 def score_separation(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -97,14 +147,19 @@ def flag_rate(flag: str = "risk_flag") -> Column:
     return F.avg(F.col(flag).cast("double"))
 
 
-def validate(train_scored: DataFrame, test_scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
+def validate(
+    train_scored: DataFrame,
+    test_scored: DataFrame,
+    score: str = "anomaly_score",
+    ks_method: str = "auto",
+) -> DataFrame:
     """One row of eight metrics, rounded to 4 places.
 
     Scoring is the costly part, so each side's score and flag are written once.
     """
     train = written_table(train_scored.select(score, "risk_flag"), "train-scores")
     test = written_table(test_scored.select(score, "risk_flag"), "test-scores")
-    ks = ks_two_sample(train, test, score).first()
+    ks = ks_two_sample(train, test, score, method=ks_method).first()
     sep = score_separation(test, score).first()
     train_rate, test_rate = (side.agg(flag_rate().alias("r")).first()["r"] for side in (train, test))
     metrics = {

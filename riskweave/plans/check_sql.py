@@ -6,6 +6,8 @@ plain windows, no splitting, no pre-aggregation.
 
 from __future__ import annotations
 
+from riskweave.operators.forest import average_path
+from riskweave.plans.stored_forest import CONTAMINATION, SAMPLE, TREES, node_rule
 from riskweave.schema import ACTIONS, EXPLORER_URL, FEATURE_COLUMNS
 
 MINUTE = 60_000_000
@@ -30,6 +32,15 @@ SELECT CAST(o_orderkey AS VARCHAR) AS hash, CAST(o_custkey AS VARCHAR) AS accoun
        o_orderstatus <> 'F' AS success, '' AS memo_text
 FROM orders"""
 
+LINES_TX = """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS hash,
+       CAST(l_suppkey AS VARCHAR) AS account, CAST(l_partkey % 97 AS VARCHAR) AS destination,
+       CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS ledger_index,
+       CAST(l_shipdate AS TIMESTAMP) AS close_time, l_extendedprice AS amount_value, 'XRP' AS currency,
+       l_quantity AS fee, CASE l_returnflag WHEN 'R' THEN 'OfferCancel' WHEN 'A' THEN 'OfferCreate'
+       ELSE 'Payment' END AS transaction_type, l_linestatus <> 'F' AS success, l_returnflag AS memo_text
+FROM lineitem"""
+
 RAW = """
 SELECT
   CASE event_id % 8
@@ -169,10 +180,10 @@ ENTROPY = (
 )
 
 
-def rounded(column: str) -> str:
+def rounded(column: str, places: int = 6) -> str:
     if column in ("is_large_tx", "contains_url", "account", "ledger_index"):
         return column
-    return f"round({column}, {12 if column == 'fee_rate' else 6}) AS {column}"
+    return f"round({column}, {12 if column == 'fee_rate' else places}) AS {column}"
 
 
 def feature_sql(columns: list[str], tx: str = EVENTS_TX, positional: bool = False) -> str:
@@ -262,6 +273,90 @@ FLAT = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS feat_{c}" for c in FEATURE_C
 ALERTS_FLAT = f"{SCORED} SELECT {ALERT_COLUMNS}, {FLAT} FROM s WHERE score > 0.7"
 
 
+def tree_sql(tree: int, node: int = 0) -> str:
+    """Path length of a tree of the stored forest, over the scaled features x0, x1, ..."""
+    feature, threshold, path = node_rule(tree, node)
+    if feature < 0:
+        return str(path)
+    left, right = tree_sql(tree, 2 * node + 1), tree_sql(tree, 2 * node + 2)
+    return f"CASE WHEN x{feature} >= {threshold!r}::DOUBLE THEN {right} ELSE {left} END"
+
+
+def forest_sql(rows: str = "o", training: str = "SELECT * FROM o WHERE rn < floor(n * 0.8)") -> str:
+    """CTEs from features ``f`` to ``scored``: raw, pct, an (the excess) and flag of each row."""
+    scaled = ", ".join(
+        f"(CAST({c} AS DOUBLE) - q{i}[2]) / CASE WHEN q{i}[3] = q{i}[1] THEN 1 ELSE q{i}[3] - q{i}[1] END AS x{i}"
+        for i, c in enumerate(FEATURE_COLUMNS)
+    )
+    quantiles = ", ".join(
+        f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q{i}" for i, c in enumerate(FEATURE_COLUMNS)
+    )
+    paths = " + ".join(tree_sql(t) for t in range(TREES))
+    raw = f"pow(2::DOUBLE, -(({paths}) / {TREES}::DOUBLE) / {float(average_path(SAMPLE))!r}::DOUBLE)"
+    return f"""
+    o AS (SELECT *, row_number() OVER (ORDER BY ledger_index, close_time, hash) - 1 AS rn,
+                 count(*) OVER () AS n FROM f),
+    tr AS ({training}), q AS (SELECT {quantiles} FROM tr),
+    trained AS (SELECT {raw} AS raw FROM (SELECT {scaled} FROM tr, q)),
+    cal AS (SELECT quantile_cont(raw, {1.0 - CONTAMINATION}) AS threshold, count(*) AS k,
+              list_sort(list(floor(raw * 131072))) AS cells FROM trained),
+    marks AS (SELECT threshold, list_transform(range(1001), lambda i:
+              cells[1 + CAST(floor(CAST(i AS DOUBLE) / 1000::DOUBLE * (k - 1)) AS BIGINT)] / 131072::DOUBLE) AS grid
+              FROM cal),
+    scored AS (SELECT r.*, raw > threshold AS flag, least(greatest(raw - threshold, 0), 1) AS an,
+                 least(greatest((len(list_filter(grid, lambda m: m <= raw)) - 1) / 1000::DOUBLE, 0), 1) AS pct
+               FROM (SELECT *, {raw} AS raw FROM (SELECT {rows}.*, {scaled} FROM {rows}, q)) r, marks)"""
+
+
+FOREST = f"WITH {WEEK}, {forest_sql()}"
+FOREST_SCORES = (
+    "round(raw, 6) AS raw_score, round(pct, 6) AS score_pct, round(an, 6) AS anomaly_score"
+)
+OLDEST = f"""
+SELECT hash, account, destination, ledger_index, close_time, amount_value, currency, 0.0::DOUBLE AS fee,
+       '' AS transaction_type, success, memo_text
+FROM ({EVENTS_TX}) ORDER BY ledger_index, close_time, hash LIMIT 4000"""
+
+
+def oldest_scored() -> str:
+    """The oldest rows by themselves, scored by the forest calibrated on the usual training rows."""
+    own = features(OLDEST, WINDOWS["7 days"])
+    rows = f"SELECT * FROM (WITH {own} SELECT * FROM f)"
+    return f"""WITH {WEEK}, few AS ({rows}), {forest_sql("few")}
+    SELECT hash, account, ledger_index, {FOREST_SCORES}, flag AS risk_flag, {", ".join(rounded(c) for c in FEATURE_COLUMNS)},
+      CAST(row_number() OVER (ORDER BY an DESC, account, ledger_index, close_time, hash) AS INTEGER) AS place
+    FROM scored"""
+
+
+def forest_alerts(rows: str) -> str:
+    severity = SEVERITY.replace("score > 0.7", "flag").replace("0.15", str(CONTAMINATION))
+    texts = f"""CASE WHEN {CODES} = '' THEN printf('Multivariate anomaly — score %.3f (unusual combination of 18 features)', score)
+       ELSE {TEXTS} END"""
+    names = ", ".join(f"CASE WHEN round(CAST({c} AS DOUBLE), 4) <> 0 THEN '{c}' END" for c in FEATURE_COLUMNS)
+    return f"""{FOREST}, a AS (
+      SELECT *, {severity} AS severity, {CLOSE_TEXT} AS time_text, {texts} AS signals,
+        array_to_string(list_filter([{names}], lambda x: x IS NOT NULL)[1:6], ',') AS top_names
+      FROM (SELECT *, pct AS score FROM scored WHERE {rows}) WHERE flag)
+    SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END,
+             round(score, 4) DESC, account, ledger_index, time_text) AS INTEGER) AS place,
+      severity, round(score, 4) AS anomaly_score, account, ledger_index, signals, top_names FROM a"""
+
+
+def forest_validation_sql() -> str:
+    train, test = "rn < floor(n * 0.8)", "rn >= floor(n * 0.8)"
+    distance = ks("scores", f"SELECT an AS x FROM scored WHERE {train}", f"SELECT an AS x FROM scored WHERE {test}")
+    distance = distance.replace("round(stat, 6)", "stat")
+    return f"""{FOREST}, k AS ({distance}),
+    m AS (SELECT avg(CAST(flag AS INTEGER)) FILTER (WHERE {train}) AS a, avg(CAST(flag AS INTEGER)) FILTER (WHERE {test}) AS b,
+            quantile_cont(an, 0.95) FILTER (WHERE {test}) - quantile_cont(an, 0.5) FILTER (WHERE {test}) AS sep,
+            avg(an) FILTER (WHERE {test}) AS mean, stddev_pop(an) FILTER (WHERE {test}) AS dev FROM scored),
+    r AS (SELECT round(a, 4) AS train_flag_rate, round(b, 4) AS test_flag_rate, round(abs(a - b), 4) AS rate_drift,
+            round(ks_stat, 4) AS ks_stat, round(ks_p_value, 4) AS ks_p_value, round(sep, 4) AS score_separation,
+            round(mean, 4) AS test_score_mean, round(dev, 4) AS test_score_std FROM m, k)
+    SELECT *, rate_drift > 0.05 AS high_drift, ks_p_value <= 0.05 AS distribution_shift,
+      score_separation < 0.1 AS low_separation FROM r"""
+
+
 def quantile_scaled(column: str) -> str:
     q = f"quantile_cont(CAST({column} AS DOUBLE), [0.25, 0.5, 0.75])"
     return (
@@ -332,6 +427,24 @@ SELECT CAST(d.doc_id AS VARCHAR) AS hash, d.source AS account, CAST(NULL AS VARC
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 
+def asof(origin: str, tx: str) -> str:
+    """Average-tie rank among the account's rows so far, over their number."""
+    numbered = f"SELECT *, row_number() OVER (ORDER BY account, ledger_index, close_time, hash) AS r FROM ({tx})"
+    return f"""
+    SELECT '{origin}' AS origin, any_value(a.hash) AS hash,
+      round((count(*) FILTER (WHERE b.amount_value < a.amount_value)
+        + (count(*) FILTER (WHERE b.amount_value = a.amount_value) + 1) / 2.0) / count(*), 6) AS percentile
+    FROM ({numbered}) a JOIN ({numbered}) b ON a.account = b.account AND b.r <= a.r GROUP BY a.r"""
+
+
+AMOUNT_CELLS = f"""
+c AS (SELECT hash, account, CASE WHEN amount_value > 0 THEN CAST(floor(log2(amount_value) * 32) AS INTEGER)
+        ELSE -1048576 END AS cell FROM ({EVENTS_TX})),
+g AS (SELECT account, cell, count(*) AS n FROM c GROUP BY account, cell),
+u AS (SELECT *, sum(n) OVER (PARTITION BY account ORDER BY cell) - n AS below,
+        sum(n) OVER (PARTITION BY account) AS total FROM g)"""
+
+
 def build_sql() -> dict[str, str]:
     one = feature_sql
     norm = f"WITH {NORMALISED} SELECT {NORM_OUT} FROM norm"
@@ -345,6 +458,13 @@ def build_sql() -> dict[str, str]:
         "src_csv_normalize": norm,
         "src_json_normalize": norm,
         "norm_amount": f"WITH {NORMALISED} SELECT h3 AS id, round(amount_xrp, 8) AS value, currency, issuer FROM norm",
+        "norm_amount_typed": """
+            SELECT 'typed' AS origin, 's' || event_id AS id, round(value * 1000.5::DOUBLE / 1000000, 10) AS value,
+              event_id AS ledger_index, event_id % 7 AS fee, '' AS rejects FROM events
+            UNION ALL
+            SELECT 'json', 's' || event_id, round(CASE event_id % 4 WHEN 0 THEN trunc(value * 1000) / 1000000
+                WHEN 1 THEN CAST(printf('%.2f', value) AS DOUBLE) / 1000000 END, 10),
+              event_id, event_id % 7, CASE WHEN event_id % 4 >= 2 THEN 'amount' ELSE '' END FROM events""",
         "norm_timestamp": f'WITH {NORMALISED} SELECT h3 AS id, CAST(epoch_us("timestamp") AS BIGINT) AS time_us FROM norm',
         "norm_aliases": f"WITH {NORMALISED} SELECT tx_hash, tx_type, account, destination, fee, ledger_index FROM norm",
         "normalize_all": norm,
@@ -396,6 +516,17 @@ def build_sql() -> dict[str, str]:
         "features_positional": one(ALL, ORDERS_TX, positional=True),
         "features_hot_accounts": one(ALL),
         "features_hot_ties": one(ALL, ORDERS_TX),
+        "feat_size_percentile_asof": " UNION ALL ".join(
+            asof(n, tx) for n, tx in (("events", EVENTS_TX), ("orders", ORDERS_TX), ("lineitem", LINES_TX))
+        ),
+        "features_asof": f"""WITH {WEEK}, p AS ({asof("events", EVENTS_TX)})
+            SELECT hash, percentile AS tx_size_percentile_local, CAST(percentile >= 0.95 AS INTEGER) AS is_large_tx,
+              {rounded("tx_rate_z_score")}, {rounded("duplicate_memo_count")} FROM f JOIN p USING (hash)""",
+        "stream_amount_rank": f"""WITH {AMOUNT_CELLS}
+            SELECT hash, round((below + (n + 1) / 2.0) / total, 6) AS tx_size_percentile_local
+            FROM c JOIN u USING (account, cell)""",
+        "features_dense": f"WITH {features(LINES_TX, 4000 * 24 * 60)} "
+        f"SELECT hash, {', '.join(rounded(c, 4) for c in ALL)} FROM f",
         "topk_volume_spike": f"""WITH {WEEK}
             SELECT hash, account, ledger_index, round(total_volume_5m, 6) AS total_volume_5m,
               round(volume_spike_ratio, 6) AS volume_spike_ratio FROM f
@@ -436,6 +567,16 @@ def build_sql() -> dict[str, str]:
             SELECT doc_id, d.toxic, CASE WHEN row_number() OVER
                 (PARTITION BY d.toxic ORDER BY draw, CAST(doc_id AS VARCHAR)) <= take THEN 'test' ELSE 'train' END AS split
             FROM d JOIN q ON d.toxic = q.toxic""",
+        "stratified_customers": """
+            WITH d AS (SELECT o_orderkey, o_custkey,
+                CAST('0x' || substr(md5('42:' || o_orderkey), 1, 13) AS BIGINT) AS draw FROM orders),
+            c AS (SELECT o_custkey, count(*) AS n, sum(count(*)) OVER () AS total FROM d GROUP BY o_custkey),
+            w AS (SELECT *, ceil(total * 0.2) AS wanted, ceil(total * 0.2) * n / total AS exact FROM c),
+            q AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, o_custkey)
+                  <= wanted - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS take FROM w)
+            SELECT o_orderkey, d.o_custkey, CASE WHEN row_number() OVER
+                (PARTITION BY d.o_custkey ORDER BY draw, CAST(o_orderkey AS VARCHAR)) <= take THEN 'test' ELSE 'train' END AS split
+            FROM d JOIN q ON d.o_custkey = q.o_custkey""",
         "robust_scale": f"""WITH {WEEK}, q AS (SELECT {", ".join(a for _, a in _SCALE)} FROM f)
             SELECT hash, {", ".join(e for e, _ in _SCALE)} FROM f, q""",
         "exact_quantiles": " UNION ALL ".join(
@@ -455,6 +596,24 @@ def build_sql() -> dict[str, str]:
             "SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'F'",
             "SELECT o_totalprice AS x FROM orders WHERE o_orderstatus = 'O'",
         ),
+        # Paths inside the band, line by line: points (i, j) reached from (i - 1, j) or (i, j - 1).
+        "ks_exact": """
+            WITH RECURSIVE v AS (SELECT s_acctbal AS x, CAST(s_nationkey < 12 AS INTEGER) AS a FROM supplier),
+            t AS (SELECT sum(a)::BIGINT AS n, (count(*) - sum(a))::BIGINT AS m FROM v),
+            r AS (SELECT max(abs(ra / n - rb / m)) AS d FROM (SELECT sum(a) OVER w AS ra, sum(1 - a) OVER w AS rb FROM
+                  v WINDOW w AS (ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), t),
+            k AS (SELECT n, m, d, round(d * n * m) AS h FROM t, r),
+            line AS (
+              SELECT CAST(0 AS BIGINT) AS i, list_transform(range(m + 1), lambda j:
+                CASE WHEN j * n < h THEN 1::DOUBLE ELSE 0 END) AS c, n, m, h FROM k
+              UNION ALL
+              SELECT i + 1, list_transform(range(m + 1), lambda j: CASE WHEN abs((i + 1) * m - j * n) < h THEN
+                list_sum(list_transform(range(j + 1), lambda q:
+                  CASE WHEN abs((i + 1) * m - q * n) < h THEN c[q + 1] ELSE 0 END)) ELSE 0 END), n, m, h
+              FROM line WHERE i < n),
+            total AS (SELECT list_product(list_transform(range(1, n + 1), lambda q: (m + q) / q::DOUBLE)) AS paths FROM t)
+            SELECT k.n AS n_a, k.m AS n_b, round(d, 6) AS ks_stat, round(1 - c[line.m + 1] / paths, 6) AS ks_p_value
+            FROM line, k, total WHERE i = line.n""",
         "score_separation": "SELECT round(quantile_cont(value, 0.95) - quantile_cont(value, 0.5), 6) "
         "AS score_separation, round(avg(value), 6) AS score_mean, round(stddev_pop(value), 6) AS score_std FROM events",
         "cv_summary": cut(
@@ -477,7 +636,39 @@ def build_sql() -> dict[str, str]:
             round(dest_concentration, 6) AS dest_concentration, round(offer_cancel_ratio, 6) AS offer_cancel_ratio,
             round(dormancy_gap, 6) AS dormancy_gap
             FROM s WHERE score > 0.7 ORDER BY s.score DESC, account, ledger_index LIMIT 20""",
+        "forest_score": f"{FOREST} SELECT hash, {FOREST_SCORES}, round(raw, 6) AS native_raw_score, "
+        "round(pct, 6) AS native_score_pct, round(an, 6) AS native_anomaly_score FROM scored",
+        "forest_predict": f"{FOREST} SELECT hash, CAST(flag AS INTEGER) AS prediction FROM scored",
+        "forest_proba": f"{FOREST} SELECT hash, round(1 - an, 6) AS p_normal, round(an, 6) AS p_anomaly FROM scored",
+        "forest_roundtrip": f"{FOREST} SELECT hash, {FOREST_SCORES}, flag AS risk_flag FROM scored",
+        "forest_validation": forest_validation_sql(),
+        "run_report": f"""{FOREST}, a AS ({forest_alerts("true").split("SELECT CAST(row_number()")[0].rsplit("a AS (", 1)[1].rsplit(")", 1)[0]}),
+            counts AS (SELECT * FROM (VALUES
+              ('transactions', 'rows', (SELECT count(*) FROM events)),
+              ('transactions', 'kept_rows', (SELECT count(*) FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)),
+              ('transactions', 'first_us', (SELECT min(epoch_us(ts)) FROM events)),
+              ('transactions', 'last_us', (SELECT max(epoch_us(ts)) FROM events)),
+              ('transactions', 'failed_rows', (SELECT count(*) FROM events WHERE event_type = 'error')),
+              ('features', 'rows', (SELECT count(*) FROM events)), ('features', 'not_numbers', 0),
+              ('scored', 'rows', (SELECT count(*) FROM scored)),
+              ('scored', 'flagged_rows', (SELECT count(*) FROM scored WHERE flag)),
+              ('alerts', 'high', (SELECT count(*) FROM a WHERE severity = 'HIGH')),
+              ('alerts', 'medium', (SELECT count(*) FROM a WHERE severity = 'MEDIUM')),
+              ('alerts', 'low', (SELECT count(*) FROM a WHERE severity = 'LOW'))) AS v(part, metric, value))
+            SELECT part, metric, CAST(value AS DOUBLE) AS value FROM counts
+            UNION ALL SELECT 'scored', 'mean_score', round(avg(an), 6) FROM scored""",
+        "score_stored": oldest_scored(),
+        "alerts_of_test_rows": forest_alerts("rn >= floor(n * 0.8)"),
+        "alerts_of_all_rows": forest_alerts("true"),
         "stream_normalize": f"{norm} WHERE {kept}",
+        "stream_csv_normalize": f"{norm} WHERE {kept}",
+        # A file is a batch; its watermark is the newest time of the files before it.
+        "stream_late": """
+            WITH e AS (SELECT CAST(event_id AS VARCHAR) AS hash, CAST(user_id AS VARCHAR) AS account,
+                event_id % 150 AS batch, epoch_us(ts) AS us FROM events),
+            m AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                AS newest FROM e GROUP BY batch)
+            SELECT hash, account, batch FROM e JOIN m USING (batch) WHERE us < newest - 20 * 86400000000""",
         "stream_dedup": "SELECT CAST(event_id AS VARCHAR) AS hash, CAST(user_id AS VARCHAR) AS account, "
         "event_id AS ledger_index, value AS amount_value FROM events",
         # The watermark counts in milliseconds: newest time less ten minutes.

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskweave import functions as fn
@@ -18,16 +19,21 @@ from riskweave.operators import alerts as al
 from riskweave.operators import features as ft
 from riskweave.operators import normalize as nz
 from riskweave.operators import scaling as sc
+from riskweave.operators import amount_sketch as sk
 from riskweave.operators import split as sp
 from riskweave.operators import validation as va
+from riskweave.operators.asof_rank import amounts_so_far
 from riskweave.operators.forest import IsolationForest
+from riskweave.operators.compiled_forest import score_natively
 from riskweave.plans import pipeline as pl
+from riskweave.plans.stored_forest import stored_forest
 from riskweave.schema import FEATURE_COLUMNS
 from riskweave.session import scratch_dir, written_table
 from riskweave.sources import readers, sinks
 from riskweave.sources.adapters import (
     events_as_raw,
     events_as_transactions,
+    lineitem_as_transactions,
     orders_as_transactions,
     table,
 )
@@ -133,6 +139,45 @@ def norm_amount(spark, sf_dir):
     )
 
 
+def norm_amount_typed(spark, sf_dir):
+    """Amounts, ledgers and fees that arrive as numbers, in a typed table and in JSON."""
+    ev = table(spark, sf_dir, "events")
+    e, v = F.col("event_id"), F.col("value")
+    name = F.concat(F.lit("s"), e.cast("string"))
+    account = F.col("user_id").cast("string")
+    typed_path, json_path = fresh_path(spark, "typed"), fresh_path(spark, "typed-json")
+    ev.select(
+        (v * 1000.5).alias("amount"), (e + 0.9).alias("ledger_index"), (e % 7).cast("int").alias("fee"),
+        account.alias("account"), name.alias("hash"), F.col("ts").cast("timestamp").alias("timestamp"),
+    ).write.parquet(typed_path)
+    digits, text = (v * 1000).cast("bigint").cast("string"), F.format_string("%.2f", v)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    amount = (
+        F.when(e % 4 == 0, digits).when(e % 4 == 1, text).when(e % 4 == 2, F.lit('"abc"')).otherwise(quoted(text))
+    )
+    pairs = F.concat_ws(
+        ",",
+        F.concat(F.lit('"amount":'), amount),
+        F.concat(F.lit('"ledger_index":'), (e + 0.9).cast("string")),
+        F.concat(F.lit('"fee":'), (e % 7).cast("string")),
+        F.concat(F.lit('"hash":'), quoted(name)),
+    )
+    ev.select(F.concat(F.lit("{"), pairs, F.lit("}")).alias("value")).write.text(json_path)
+    parts = []
+    for origin, raw in (
+        ("typed", readers.read_raw(spark, typed_path, "parquet")),
+        ("json", readers.read_raw(spark, json_path, "json")),
+    ):
+        rows = nz.normalize(raw, keep_rejects=True)
+        parts.append(
+            rows.select(
+                F.lit(origin).alias("origin"), F.col("tx_hash").alias("id"), F.round("amount_xrp", 10).alias("value"),
+                "ledger_index", "fee", F.array_join("_rejects", ",").alias("rejects"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 def norm_timestamp(spark, sf_dir):
     raw = readers.conform_raw(events_as_raw(spark, sf_dir))
     parsed = fn.parse_time(fn.first_filled("ledger_close_time_human", "date", "timestamp"))
@@ -199,6 +244,33 @@ def features_all(spark, sf_dir):
     return feature_query(["account", "ledger_index", *FEATURE_COLUMNS])(spark, sf_dir)
 
 
+def feat_size_percentile_asof(spark, sf_dir):
+    """Amounts ranked among the rows so far, of users, customers and suppliers."""
+    parts = []
+    for name, source in (
+        ("events", events_as_transactions),
+        ("orders", orders_as_transactions),
+        ("lineitem", lineitem_as_transactions),
+    ):
+        opts = ft.FeatureOptions(60_000_000)
+        base = ft.prepare(source(spark, sf_dir), opts)
+        ranked = amounts_so_far(base.select("account", *ft.ROW_ORDER, "amount_value"), ["account"], ft.ROW_ORDER)
+        parts.append(ranked.select(F.lit(name).alias("origin"), "hash", F.col("_asof").alias("percentile")))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def features_asof(spark, sf_dir):
+    """Features without a look ahead."""
+    f = ft.build_features(events_as_transactions(spark, sf_dir), window="7 days", look_ahead=False)
+    return rounded(f.select("hash", "tx_size_percentile_local", "is_large_tx", "tx_rate_z_score", "duplicate_memo_count"))
+
+
+def features_dense(spark, sf_dir):
+    """All lines of a supplier in one window: trailing measures in linear time."""
+    f = ft.build_features(lineitem_as_transactions(spark, sf_dir), window="4000 days")
+    return rounded(f.select("hash", "account", "ledger_index", *FEATURE_COLUMNS), 4)
+
+
 def feat_memo_entropy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("sub"), "text"
@@ -306,6 +378,12 @@ def stratified_split(spark, sf_dir):
     return sp.stratified_split(labels, key="doc_id", label="toxic").select("doc_id", "toxic", "split")
 
 
+def stratified_customers(spark, sf_dir):
+    """A class for each customer: all classes are cut in the same passes."""
+    orders = table(spark, sf_dir, "orders")
+    return sp.stratified_split(orders, key="o_orderkey", label="o_custkey").select("o_orderkey", "o_custkey", "split")
+
+
 # --------------------------------------------------------------------------- model numbers
 
 
@@ -355,6 +433,14 @@ def ks_two_sample(spark, sf_dir):
     return rounded(both)
 
 
+def ks_exact(spark, sf_dir):
+    """Balances of suppliers in nations of lower and of higher number."""
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal")
+    low, high = rows.filter("s_nationkey < 12"), rows.filter("s_nationkey >= 12")
+    found = va.ks_two_sample(low, high, "s_acctbal", method="exact")
+    return rounded(found.select("n_a", "n_b", "ks_stat", "ks_p_value"))
+
+
 def score_separation(spark, sf_dir):
     return rounded(va.score_separation(table(spark, sf_dir, "events").select("value"), "value"))
 
@@ -508,6 +594,101 @@ def timeseries_cv(spark, sf_dir):
     return va.timeseries_cv(_model_features(spark, sf_dir))
 
 
+def _stored(spark, sf_dir):
+    """Features, training and test rows, and the forest that is given by a rule."""
+    f = _model_features(spark, sf_dir)
+    train_df, test_df = sp.temporal_split(f)
+    return f, train_df, test_df, stored_forest(train_df)
+
+
+SCORES = ("raw_score", "score_pct", "anomaly_score")
+
+
+def forest_score(spark, sf_dir):
+    """All rows by the array scorer and by the compiled trees."""
+    f, _, _, model = _stored(spark, sf_dir)
+    native = score_natively(f, model).select("hash", *[F.col(c).alias(f"native_{c}") for c in SCORES])
+    return rounded(model.transform(f).select("hash", *SCORES).join(native, "hash"))
+
+
+def forest_predict(spark, sf_dir):
+    f, _, _, model = _stored(spark, sf_dir)
+    return model.predict(f).select("hash", "prediction")
+
+
+def forest_proba(spark, sf_dir):
+    f, _, _, model = _stored(spark, sf_dir)
+    return rounded(model.predict_proba(f).select("hash", "p_normal", "p_anomaly"))
+
+
+def forest_roundtrip(spark, sf_dir):
+    """Scores of the stored model after saving and loading."""
+    f, _, _, model = _stored(spark, sf_dir)
+    path = fresh_path(spark, "stored-model")
+    sinks.save_model(model, spark, path)
+    return rounded(sinks.load_model(spark, path).transform(f).select("hash", *SCORES, "risk_flag"))
+
+
+def score_stored(spark, sf_dir):
+    """A stored model on the oldest rows of a table, numbered in the order of the result."""
+    _, _, _, model = _stored(spark, sf_dir)
+    path = fresh_path(spark, "stored-model")
+    sinks.save_model(model, spark, path)
+    scored = pl.score_table(
+        spark, path, events_as_transactions(spark, sf_dir), limit=4000, window="7 days"
+    )
+    return rounded(placed(scored.select("hash", "account", "ledger_index", *SCORES, "risk_flag", *FEATURE_COLUMNS)))
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """Rows of an ordered result with their place in it, for comparison."""
+    spark, path = ordered.sparkSession, fresh_path(ordered.sparkSession, "ordered")
+    ordered.write.parquet(path)
+    # Files of one ordered write have their part number in their name.
+    back = spark.read.schema(ordered.schema).parquet(path)
+    at = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r"))
+    back = back.withColumn("_at", at)
+    return back.withColumn("place", F.row_number().over(W.orderBy("_at"))).drop("_at")
+
+
+def ordered_alerts(found: DataFrame) -> DataFrame:
+    """Alerts with their place in the order of urgency, and the names of their top features."""
+    shown = al.top_features(placed(al.by_urgency(found)))
+    names = F.transform(F.split("top_features", "  "), lambda x: F.substring_index(x, "=", 1))
+    return shown.select(
+        "place", "severity", "anomaly_score", "account", "ledger_index",
+        F.array_join("signals", " | ").alias("signals"), F.array_join(names, ",").alias("top_names"),
+    )
+
+
+def alerts_of_test_rows(spark, sf_dir):
+    """Alerts of a fresh model: only the rows it hasn't seen, most urgent first."""
+    _, _, test_df, model = _stored(spark, sf_dir)
+    scored = pl.score(test_df, model, from_features=True)
+    return ordered_alerts(al.alerts(scored, model.contamination))
+
+
+def alerts_of_all_rows(spark, sf_dir):
+    """Alerts of a stored model: every row is scored."""
+    f, _, _, model = _stored(spark, sf_dir)
+    scored = pl.score(f, model, from_features=True)
+    return ordered_alerts(al.alerts(scored, model.contamination))
+
+
+def forest_validation(spark, sf_dir):
+    """Flag rates, drift, KS distance, separation, moments and verdicts."""
+    _, train_df, test_df, model = _stored(spark, sf_dir)
+    found = va.validate(model.transform(train_df), model.transform(test_df), ks_method="asymptotic")
+    return va.verdicts(found)
+
+
+def run_report(spark, sf_dir):
+    """Counts of a run with a stored model, gathered while its parts are written."""
+    _, _, _, model = _stored(spark, sf_dir)
+    _, report = pl.run_report(events_as_transactions(spark, sf_dir), model, window="7 days")
+    return rounded(report)
+
+
 def score_batch(spark, sf_dir):
     f, _, _, model = _trained(spark, sf_dir)
     return pl.ranked(pl.score(f, model, from_features=True))
@@ -552,7 +733,42 @@ def stream_normalize(spark, sf_dir):
     path = fresh_path(spark, "raw-stream")
     raw_messages(events_as_raw(spark, sf_dir)).repartition(4).write.text(path)
     done = _through(spark, st.stream_transactions(st.stream_raw(spark, path, "json", max_files=2)))
-    return normalised_rows(done)
+    return normalised_rows(done.drop("success", "memo_text"))
+
+
+def stream_csv_normalize(spark, sf_dir):
+    """CSV files whose columns stand in different orders, as a stream."""
+    path = fresh_path(spark, "csv-stream")
+    raw = readers.conform_raw(events_as_raw(spark, sf_dir)).withColumn("extra", F.lit("x,y"))
+    part = F.pmod(F.xxhash64("txn_signature"), F.lit(3))
+    for i in range(3):
+        columns = raw.columns[5 * i :] + raw.columns[: 5 * i]
+        rows = raw.filter(part == i).select(*columns).repartition(2)
+        rows.write.mode("append").option("header", "true").option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", "false"
+        ).option("ignoreTrailingWhiteSpace", "false").csv(path)
+    done = _through(spark, st.stream_transactions(st.stream_raw(spark, path, "csv", max_files=2)))
+    return normalised_rows(done.drop("success", "memo_text"))
+
+
+#: Files, and so triggers, of the stream with late rows.
+LATE_FILES = 150
+
+
+def stream_late(spark, sf_dir):
+    """Rows behind the watermark, over more triggers than a query remembers."""
+    events = events_as_transactions(spark, sf_dir).select("hash", "account", "close_time", "ledger_index")
+    path, out = fresh_path(spark, "late-stream"), fresh_path(spark, "late-split")
+    part = F.format_string("%04d", F.col("ledger_index") % LATE_FILES)
+    # The reader takes files in the order of their time: one task writes them one by one.
+    cut = events.withColumn("part", part).coalesce(1).sortWithinPartitions("part")
+    cut.write.partitionBy("part").parquet(path)
+    stream = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/part=*")
+    )
+    st.split_late(stream, out, fresh_path(spark, "late-state"), "20 days", available_now=True).awaitTermination()
+    ddl = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    return st.read_split(spark, out, ddl, late=True).select("hash", "account", "batch")
 
 
 def stream_features(spark, sf_dir):
@@ -574,6 +790,19 @@ def stream_bursts(spark, sf_dir):
     )
 
 
+def stream_amount_rank(spark, sf_dir):
+    """Ranks from sketches that the batches of a stream have built."""
+    events = events_as_transactions(spark, sf_dir)
+    path = fresh_path(spark, "amount-stream")
+    given = events.select("hash", "account", "amount_value", "close_time")
+    given.repartition(4, "hash").write.parquet(path)
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    sketches = fresh_path(spark, "sketches")
+    sk.add_to_sketch(stream, sketches, fresh_path(spark, "sketch-state"), available_now=True).awaitTermination()
+    ranked = sk.with_sketched_rank(given, sk.read_sketch(spark, sketches))
+    return rounded(ranked.select("hash", "tx_size_percentile_local"))
+
+
 def stream_dedup(spark, sf_dir):
     """A stream in which every event arrives twice, read back once."""
     schema = table(spark, sf_dir, "events").schema
@@ -602,6 +831,7 @@ def build_queries() -> dict[str, Query]:
         "src_csv_normalize": src_csv_normalize,
         "src_json_normalize": src_json_normalize,
         "norm_amount": norm_amount,
+        "norm_amount_typed": norm_amount_typed,
         "norm_timestamp": norm_timestamp,
         "norm_aliases": norm_aliases,
         "normalize_all": normalize_all,
@@ -635,6 +865,9 @@ def build_queries() -> dict[str, Query]:
         "features_hot_ties": one(
             ["account", "ledger_index", *FEATURE_COLUMNS], orders_as_transactions, hot_rows=10
         ),
+        "feat_size_percentile_asof": feat_size_percentile_asof,
+        "features_asof": features_asof,
+        "features_dense": features_dense,
         "topk_volume_spike": topk_volume_spike,
         "dq_nan_inf": dq_nan_inf,
         "temporal_split": temporal_split,
@@ -644,6 +877,7 @@ def build_queries() -> dict[str, Query]:
         "feature_vector": feature_vector,
         "split_xy": split_xy,
         "stratified_split": stratified_split,
+        "stratified_customers": stratified_customers,
         "robust_scale": robust_scale,
         "exact_quantiles": exact_quantiles,
         "pc1": pc1,
@@ -656,6 +890,7 @@ def build_queries() -> dict[str, Query]:
         "val_flag_rate": val_flag_rate,
         "val_verdicts": val_verdicts,
         "ks_two_sample": ks_two_sample,
+        "ks_exact": ks_exact,
         "score_separation": score_separation,
         "timeseries_cv": timeseries_cv,
         "cv_summary": cv_summary,
@@ -667,10 +902,22 @@ def build_queries() -> dict[str, Query]:
         "alerts_json_roundtrip": alerts_json_roundtrip,
         "alert_summary": alert_summary,
         "topk_flagged": topk_flagged,
+        "forest_score": forest_score,
+        "forest_predict": forest_predict,
+        "forest_proba": forest_proba,
+        "forest_roundtrip": forest_roundtrip,
+        "forest_validation": forest_validation,
+        "score_stored": score_stored,
+        "alerts_of_test_rows": alerts_of_test_rows,
+        "alerts_of_all_rows": alerts_of_all_rows,
+        "run_report": run_report,
         "score_batch": score_batch,
         "model_roundtrip": model_roundtrip,
         "end_to_end": end_to_end,
         "stream_normalize": stream_normalize,
+        "stream_amount_rank": stream_amount_rank,
+        "stream_csv_normalize": stream_csv_normalize,
+        "stream_late": stream_late,
         "stream_dedup": stream_dedup,
         "stream_features": stream_features,
         "stream_bursts": stream_bursts,

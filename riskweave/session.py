@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Adaptive execution and a UTC clock; the rest is left to the cluster.
 DEFAULTS = {
@@ -60,4 +61,38 @@ def written_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/riskweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _note(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed_table(df: DataFrame, label: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``written_table``, and aggregates of its rows gathered by the tasks that write it."""
+    seen = Observation()
+    named = [c.alias(name) for name, c in measures.items()]
+    table = written_table(df.observe(seen, *named), label)
+    return table, seen.get
+
+
+_owners: list[list[str]] = []
+
+
+def _note(path: str) -> None:
+    if _owners:
+        _owners[-1].append(path)
+
+
+@contextlib.contextmanager
+def owned_tables(spark: SparkSession):
+    """Delete, at the end of the block, every table written in it.
+
+    What leaves the block must be written elsewhere or collected before it ends. Blocks may
+    lie in one another; a table belongs to the innermost.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _owners.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)

@@ -59,6 +59,26 @@ def orders_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_as_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction per order line: suppliers are accounts with many rows on few days."""
+    day = F.col("l_shipdate").cast("timestamp")
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in parts]).alias("hash"),
+        F.col("l_suppkey").cast("string").alias("account"),
+        (F.col("l_partkey") % 97).cast("string").alias("destination"),
+        F.unix_date(day.cast("date")).cast("bigint").alias("ledger_index"),
+        day.alias("close_time"),
+        F.col("l_extendedprice").alias("amount_value"),
+        F.lit("XRP").alias("currency"),
+        F.col("l_quantity").alias("fee"),
+        F.when(F.col("l_returnflag") == "R", "OfferCancel").when(F.col("l_returnflag") == "A", "OfferCreate")
+        .otherwise("Payment").alias("transaction_type"),
+        (F.col("l_linestatus") != "F").alias("success"),
+        F.col("l_returnflag").alias("memo_text"),
+    )
+
+
 def events_as_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text records derived from events, cycling through every input shape."""
     e = F.col("event_id")

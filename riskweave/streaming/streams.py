@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from riskweave.functions import duration_us
+from riskweave.functions import duration_us, first_filled
 from riskweave.operators.alerts import alerts
 from riskweave.operators.features import FeatureOptions, finish, prepare
 from riskweave.operators.forest import ForestModel
 from riskweave.operators.normalize import drop_incomplete, normalize
 from riskweave.schema import FEATURE_COLUMNS, RAW_SCHEMA
-from riskweave.sources.readers import CSV_OPTIONS, raw_from_json
+from riskweave.sources.readers import CSV_OPTIONS, RAW_ALIASES, raw_from_json
 from riskweave.streaming.state import INPUT_FIELDS, OUTPUT_SCHEMA, TrailingFeatures
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,8 +26,8 @@ AMOUNT_STEPS = 200
 def stream_raw(spark: SparkSession, path: str, fmt: str = "csv", max_files: int | None = None) -> DataFrame:
     """Raw records from a folder that another process adds files to.
 
-    CSV files must have the columns of the raw schema in its order; JSON lines
-    are matched by name.
+    CSV columns are found by the header of each file (see :func:`csv_by_header`),
+    fields of JSON lines by name.
     """
     reader = spark.readStream
     if max_files:
@@ -33,13 +35,69 @@ def stream_raw(spark: SparkSession, path: str, fmt: str = "csv", max_files: int
     if fmt == "json":
         return raw_from_json(reader.text(path))
     if fmt == "csv":
-        return reader.options(**CSV_OPTIONS).schema(RAW_SCHEMA).csv(path)
+        return csv_by_header(reader.text(path, wholetext=True))
     return reader.format(fmt).schema(RAW_SCHEMA).load(path)
 
 
+#: Columns of a CSV file at most.
+CSV_COLUMNS = 64
+
+
+def csv_by_header(files: DataFrame, column: str = "value") -> DataFrame:
+    """Raw records of whole CSV files, each read by its own header.
+
+    The reader of CSV streams takes columns by their place. Here a file is one row (so
+    files should stay below some 100 MB), its first line names its columns, and every
+    other line is looked up by those names, in any order and with any others between. A
+    line with another number of fields than the header, or a header without a known
+    column, fails the stream instead of shifting values. Line breaks within quotes aren't
+    supported.
+    """
+    options = {k: v for k, v in CSV_OPTIONS.items() if k in ("mode", "escape")}
+    ddl = ", ".join(f"c{i} string" for i in range(CSV_COLUMNS))
+    # A mark behind the last field tells a line's width, also where fields are empty.
+    mark = "\x01"
+
+    def parsed(line):
+        return F.from_csv(F.concat(line, F.lit(f",{mark}")), ddl, options)
+
+    def fields(row):
+        return F.array(*[F.col(row)[f"c{i}"] for i in range(CSV_COLUMNS)])
+
+    lines = F.split(F.regexp_replace(F.col(column), "^\ufeff", ""), "\r?\n")
+    body = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: line != "")
+    # Lines leave the generator parsed; as plain columns they would be parsed for each field.
+    both = F.transform(
+        body, lambda line: F.struct(parsed(F.get(lines, F.lit(0))).alias("names"), parsed(line).alias("fields"))
+    )
+    rows = files.select(F.explode(both).alias("_line")).select(
+        F.transform(fields("_line.names"), lambda n: F.trim(n)).alias("_names"),
+        fields("_line.fields").alias("_fields"),
+    )
+    known = [*RAW_SCHEMA.fieldNames(), *RAW_ALIASES.values()]
+    width = lambda f: F.array_position(f, mark)
+    same = width(F.col("_names")) == width(F.col("_fields"))
+    named = F.arrays_overlap("_names", F.array(*[F.lit(n) for n in known]))
+    checked = F.when(same & named, F.col("_fields")).otherwise(
+        F.raise_error(F.lit("CSV line and header don't match")).cast("array<string>")
+    )
+    rows = rows.select("_names", checked.alias("_fields"))
+
+    def value(name):
+        at = F.array_position("_names", name).cast("int")
+        return F.when(at > 0, F.get("_fields", at - 1))
+
+    return rows.select(
+        *[
+            (first_filled(value(c), value(RAW_ALIASES[c])) if c in RAW_ALIASES else value(c)).alias(c)
+            for c in RAW_SCHEMA.fieldNames()
+        ]
+    )
+
+
 def stream_transactions(raw: DataFrame) -> DataFrame:
     """The batch normaliser, applied to a stream."""
-    return drop_incomplete(normalize(raw))
+    return drop_incomplete(normalize(raw, extras=True))
 
 
 def deduplicated(df: DataFrame, time: str = "close_time", key: str = "hash", delay: str = "10 minutes") -> DataFrame:
@@ -165,7 +223,10 @@ def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped so far."""
+    """Rows that the watermark has dropped in the triggers a query remembers, the last hundred.
+
+    :class:`LateRowCounter` counts over any number of them.
+    """
     return sum(
         op.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
@@ -173,6 +234,73 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+class LateRowCounter(StreamingQueryListener):
+    """Adds up the rows that watermarks drop, by query, over any number of triggers.
+
+    A query itself remembers its last hundred triggers only. Add one counter to
+    ``spark.streams`` before the queries start.
+    """
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+        self.triggers: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.triggers[str(progress.id)] += 1
+        self.dropped[str(progress.id)] += sum(
+            op.numRowsDroppedByWatermark for op in progress.stateOperators
+        )
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def split_late(
+    df: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", time: str = "close_time",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Write the rows of a stream to ``path``, those older than its watermark apart.
+
+    The watermark of a batch is the newest time of all batches before it, less ``delay``.
+    A batch that runs again replaces its folder, so no row is lost or doubled, and a query
+    that starts again finds the newest time in the folders of the batches before. Rows
+    without a time count as in time.
+    """
+    delay_us = duration_us(delay)
+    spark, schema = df.sparkSession, df.schema
+    us = F.unix_micros(time)
+    newest_after: dict[int, int | None] = {-1: None}
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        if batch_id - 1 not in newest_after:
+            stored = spark.read.schema(schema.add("batch", "long")).parquet(path)
+            stored = stored.filter(F.col("batch") < batch_id)
+            newest_after[batch_id - 1] = stored.agg(F.max(us)).first()[0]
+        newest = newest_after[batch_id - 1]
+        late = F.lit(False) if newest is None else F.coalesce(us < newest - delay_us, F.lit(False))
+        seen = Observation()
+        marked = batch.withColumn("_late", late).observe(seen, F.max(us).alias("newest"))
+        marked.write.mode("overwrite").partitionBy("_late").parquet(f"{path}/batch={batch_id}")
+        times = [t for t in (newest, seen.get["newest"]) if t is not None]
+        newest_after.clear()
+        newest_after.update({batch_id - 1: newest, batch_id: max(times, default=None)})
+
+    writer = df.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_split(spark: SparkSession, path: str, schema: str, late: bool) -> DataFrame:
+    """The late rows of :func:`split_late`, or those in time, with their batch."""
+    both = spark.read.schema(f"{schema}, batch long, _late boolean").parquet(path)
+    return both.filter(F.col("_late") == late).drop("_late")
+
+
 def observed(df: DataFrame, name: str = "ingest") -> DataFrame:
     """Report rows and the newest time of each batch in the query progress."""
     return df.observe(

@@ -18,8 +18,10 @@ from riskweave.operators.features import (
     ledger_activity,
     prepare,
     project,
+    special_entities,
 )
 from riskweave.operators.hot_features import split_features
+from riskweave.operators.normalize import unify_schema
 from riskweave.schema import FEATURE_COLUMNS
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -143,6 +145,43 @@ def test_split_plan_matches_brute_force(spark, ties, chunk_rows):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("ties", ["peers", "positional"])
+@pytest.mark.parametrize("seconds", [400, 40_000])
+def test_linear_plan_matches_brute_force(spark, ties, seconds):
+    """Dense and sparse accounts; rows at exactly one window length from each other."""
+    rows = random_rows(400, 12, seconds=seconds)
+    df = spark.createDataFrame(rows, SCHEMA)
+    opts = FeatureOptions(300_000_000, ties=ties)
+    got = project(grouped_features(prepare(df, opts), opts, linear=True))
+    assert_same(got, brute_force(rows, positional=ties == "positional"))
+
+
+def test_dense_accounts_take_the_linear_plan(spark, monkeypatch):
+    rows = random_rows(420, 13, accounts=("dense", "dense", "dense", "a"), seconds=1200)
+    sparse = random_rows(320, 14, accounts=("sparse",), seconds=4_000_000)
+    rows += [(f"s{r[0]}", *r[1:]) for r in sparse]
+    df = spark.createDataFrame(rows, SCHEMA)
+    opts = FeatureOptions(300_000_000)
+    special, plans = special_entities(unify_schema(df), opts, 100_000)
+    assert plans == {"linear": 1} and [tuple(r) for r in special.collect()] == [("dense", "linear")]
+    for hot_rows in (100_000, 310):
+        assert_same(build_features(df, hot_rows=hot_rows), brute_force(rows))
+
+
+def test_linear_plan_has_one_exchange(spark):
+    opts = FeatureOptions(300_000_000)
+    df = spark.createDataFrame(random_rows(50, 7), SCHEMA)
+    made = grouped_features(prepare(df, opts), opts, linear=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_missing_ledger_becomes_zero(spark):
+    df = spark.createDataFrame([("h", "A", START)], "hash string, account string, close_time timestamp")
+    got = build_features(df.withColumn("ledger_index", F.lit(None).cast("long"))).first()
+    assert got["ledger_index"] == 0
+
+
 def test_hot_and_ordinary_accounts_together(spark):
     rows = random_rows(300, 3)
     df = spark.createDataFrame(rows, SCHEMA)

@@ -1,18 +1,25 @@
 """Streams give the batch result, however the input was cut."""
 
+import datetime as dt
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators.features import build_features
 from riskweave.schema import FEATURE_COLUMNS
 from riskweave.streaming.streams import (
+    LateRowCounter,
     activity_sessions,
     amount_table,
     burst_counts,
     deduplicated,
     late_rows,
     observed,
+    read_split,
+    split_late,
     stream_features,
+    stream_raw,
     to_table,
     with_amount_rank,
 )
@@ -89,6 +96,68 @@ def test_dedup_and_late_rows(spark, tmp_path):
     assert run(rows[:5]) > 0
 
 
+def test_late_rows_over_many_triggers(spark, tmp_path):
+    """More triggers than a query remembers; late rows in the first and in the last ones."""
+    path = str(tmp_path / "in")
+    rows = random_rows(106, 15, accounts=("a",), seconds=13_000)
+    late = [(f"late{i}", *r[1:]) for i, r in enumerate(random_rows(4, 16, accounts=("late",), seconds=10))]
+    parts = [rows[:1], late[:2], *[[r] for r in rows[1:]], late[2:]]
+    parts[0] = [(*rows[0][:4], rows[0][4] + dt.timedelta(seconds=5000), *rows[0][5:])]
+    numbered = [(*r, f"{i:04d}") for i, part in enumerate(parts) for r in part]
+    # One task writes the files one by one, in the order in which they are read.
+    given = spark.createDataFrame(numbered, SCHEMA + ", part string").coalesce(1)
+    given.sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    stream = lambda: spark.readStream.schema(spark.createDataFrame(rows, SCHEMA).schema).option(
+        "maxFilesPerTrigger", 1
+    ).parquet(f"{path}/part=*")
+    counter = LateRowCounter()
+    spark.streams.addListener(counter)
+    try:
+        writer = burst_counts(stream(), delay="1 second").writeStream.outputMode("append").format("noop")
+        query = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if counter.triggers[str(query.id)] >= len(parts):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counter)
+    assert len(query.recentProgress) <= 100 < counter.triggers[str(query.id)]
+    assert counter.dropped[str(query.id)] > late_rows(query)
+    out = str(tmp_path / "split")
+    split_late(stream(), out, str(tmp_path / "state2"), "1 second", available_now=True).awaitTermination()
+    found = {r["hash"] for r in read_split(spark, out, SCHEMA, late=True).collect()}
+    newest, want = None, set()
+    for part in parts:
+        if newest is not None:
+            want |= {r[0] for r in part if r[4] < newest - dt.timedelta(seconds=1)}
+        newest = max([r[4] for r in part] + ([newest] if newest else []))
+    assert found == want and found
+    assert read_split(spark, out, SCHEMA, late=False).count() == sum(map(len, parts)) - len(want)
+
+
+def test_csv_stream_follows_each_header(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('account,amount,hash,other\nA,"{""value"":""5"",""currency"":""USD""}",h1,"x,y"\n')
+    (folder / "b.csv").write_text("\ufeffhash,Account,fee,amount\r\nh2,B,7,1000000\r\nh3,C,,\r\n")
+    (folder / "empty.csv").write_text("hash,account\n")
+
+    def run(name):
+        out = str(tmp_path / name)
+        to_table(stream_raw(spark, str(folder), "csv"), out, str(tmp_path / f"{name}-state"))
+        return {r["hash"]: r for r in spark.read.parquet(out).collect()}
+
+    got = run("out")
+    assert got.keys() == {"h1", "h2", "h3"}
+    assert (got["h1"]["account"], got["h1"]["amount"]) == ("A", '{"value":"5","currency":"USD"}')
+    assert (got["h2"]["account"], got["h2"]["amount"], got["h2"]["fee"]) == ("B", "1000000", "7")
+    assert (got["h3"]["account"], got["h3"]["amount"]) == ("C", None)
+    (folder / "short.csv").write_text("hash,account,fee\nh4,D\n")
+    with pytest.raises(Exception, match="don't match"):
+        run("broken")
+
+
 def test_sessions(spark, tmp_path):
     rows = random_rows(40, 14, accounts=("a",), seconds=20000)
     stream = write_in_files(spark, rows, str(tmp_path / "in"), 1)
