@@ -65,6 +65,13 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def slices(batches: Rows, rows: int) -> Rows:
     """Cut batches to at most ``rows`` rows each, so that a task holds few long texts at once."""
     for b in batches:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches, valid_text
+from riskweave.llm.arrow import batch, free_name, map_batches, valid_text
 from riskweave.llm.boundary_set import BoundarySet
 from riskweave.llm.word_ids import byte_slices
 
@@ -81,15 +81,16 @@ def fill_in_middle(
     cut at the same draws. Other columns are kept, but for one named like a result, which
     is replaced; an empty table gives no rows.
     """
+    inner, number = free_name(docs, "_text"), free_name(docs, "_key")
     kept = [c for c in docs.columns if c not in RESULTS]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
     schema += "n long, form string, prefix_chars long, middle_chars long, output string"
 
     def make(arrow):
         def run(batches):
-            for b in byte_slices(batches, "__text"):
-                texts = valid_text(b.column("__text")).to_pylist()
-                keys = b.column("__key").to_pylist()
+            for b in byte_slices(batches, inner):
+                texts = valid_text(b.column(inner)).to_pylist()
+                keys = b.column(number).to_pylist()
                 made = [transform(t, k, seed, plain, spm) for t, k in zip(texts, keys, strict=True)]
                 out = {c: b.column(c) for c in kept}
                 out |= dict(zip(RESULTS, map(list, zip(*made, strict=True)), strict=True))
@@ -98,7 +99,7 @@ def fill_in_middle(
         return run
 
     given = docs.select(
-        *kept, F.col(text).alias("__text"), F.col(id_col).cast("long").alias("__key")
+        *kept, F.col(text).alias(inner), F.col(id_col).cast("long").alias(number)
     )
     return map_batches(given, schema, make)
 

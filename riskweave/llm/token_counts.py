@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches, slices, valid_text
+from riskweave.llm.arrow import batch, free_name, map_batches, slices, valid_text
 
 # The pre-token pattern of byte-level merge tables.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,6 +151,7 @@ def token_counts(
     one, and other columns are kept; one that has the name of a result is replaced. There
     is no shuffle: a task keeps only a bounded number of counts.
     """
+    given = free_name(docs, "_text")
     results = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c not in results and c != text]
     fields = ", ".join(
@@ -162,7 +163,7 @@ def token_counts(
         def run(batches):
             table = merge_table(vocabulary)
             for b in slices(batches, 2000):
-                texts = valid_text(b.column("_text")).to_pylist()
+                texts = valid_text(b.column(given)).to_pylist()
                 tokens = [table.count(t) for t in texts]
                 out = {c: b.column(c) for c in kept}
                 out["n_bytes"] = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
@@ -172,4 +173,4 @@ def token_counts(
 
         return run
 
-    return map_batches(docs.select(*kept, F.col(text).alias("_text")), schema, make)
+    return map_batches(docs.select(*kept, F.col(text).alias(given)), schema, make)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches, slices
+from riskweave.llm.arrow import batch, free_name, map_batches, slices
 from riskweave.session import written_table
 
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts.
@@ -240,7 +240,8 @@ def toxicity_scores(
     A NULL or empty text has no features and gets the bias alone. Rows stay one to one,
     other columns are kept, and one named like a result is replaced. No shuffle.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "_text")]
+    given = free_name(docs, "_text")
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
     schema = ", ".join([*fields, "score double", "predicted int"])
 
@@ -248,7 +249,7 @@ def toxicity_scores(
         def run(batches):
             scorer = _Scorer(model)
             for b in slices(batches, 1000):
-                scores = [scorer.score(t) for t in b.column("_text").to_pylist()]
+                scores = [scorer.score(t) for t in b.column(given).to_pylist()]
                 out = {c: b.column(c) for c in kept}
                 out["score"] = scores
                 out["predicted"] = [int(s >= threshold) for s in scores]
@@ -256,4 +257,4 @@ def toxicity_scores(
 
         return run
 
-    return map_batches(docs.select(*kept, F.col(text).cast("binary").alias("_text")), schema, make)
+    return map_batches(docs.select(*kept, F.col(text).cast("binary").alias(given)), schema, make)
