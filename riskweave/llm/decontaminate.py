@@ -62,7 +62,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, row_hash: bool = False)
     A document word inside an occurrence of a window is hit. NULL or empty texts have no
     words; items without words have no windows. Repeated documents get equal results, and
     repeated item_ids count once. On request ``row_hash``, xxhash64(doc_id, text), tells
-    rows of one doc_id apart. An empty table gives no rows. An item_id of NULL hits words but isn't counted. Items
+    rows of one doc_id apart. An empty table gives no rows. An item_id of NULL hits words but
+    isn't counted. Items
     shorter than WINDOW are matched by hashes of their whole length, one length at a time
     (at most WINDOW - 1 lengths).
     """

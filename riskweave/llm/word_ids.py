@@ -26,7 +26,9 @@ from riskweave.llm.arrow import valid_text
 from riskweave.llm.token_counts import PRETOKEN, byte_letters
 
 #: Different words whose ids a process remembers at most.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: New words that go through the tokenizer together.
+NEW_AT_ONCE = 20_000
 #: Longer words are not remembered for long.
 CACHE_BYTES = 128
 #: White space but the space itself.
@@ -34,7 +36,7 @@ INNER = re.compile(r"[^\S ]")
 BLANKS = b"\t\n\x0b\x0c\r"
 
 
-def byte_slices(batches, column: str, rows: int = 4000, size: int = 8_000_000) -> Iterator:
+def byte_slices(batches, column: str, rows: int = 2000, size: int = 4_000_000) -> Iterator:
     """Cut batches to slices of few rows and, but for one longer text, few bytes of ``column``."""
     for b in batches:
         lengths = pc.binary_length(b.column(column)).fill_null(0).to_numpy()
@@ -112,7 +114,9 @@ class WordIds:
         from tokenizers.normalizers import Sequence
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        self.cutter = Tokenizer.from_file(path)
+        self.normalizer = self.cutter.normalizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -133,7 +137,6 @@ class WordIds:
         self.pretokens = regex.compile(pattern if self.spaced else pattern + "| ").findall
         letters = byte_letters()
         self.letters = np.array([ord(letters[b]) for b in range(256)], dtype="<u2")
-        self.cutter = Tokenizer.from_file(path)
         self.cutter.normalizer = Sequence([])
         self.cutter.pre_tokenizer = CharDelimiterSplit("\0")
         unused = letters[255]
@@ -155,7 +158,7 @@ class WordIds:
         different = list(dict.fromkeys(pieces))
         joined = "\0".join(different)
         if joined.count("\0") != len(different) - 1:  # NUL characters in the texts
-            model = self.tokenizer.model.tokenize
+            model = self.cutter.model.tokenize
             spelt = (self.letters[np.frombuffer(p.encode(), np.uint8)] for p in pieces)
             found = [[t.id for t in model(s.tobytes().decode("utf-16-le"))] for s in spelt]
             counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
@@ -196,7 +199,7 @@ class WordIds:
         wide = [i for i, w in enumerate(words) if not w.isascii()]
         if not wide:
             return words
-        normal, out = self.tokenizer.normalizer.normalize_str, list(words)
+        normal, out = self.normalizer.normalize_str, list(words)
         joined = " ".join([words[i] for i in wide])
         if INNER.search(joined):
             made = [normal(words[i]).replace(" ", "\t") for i in wide]
@@ -208,6 +211,10 @@ class WordIds:
 
     def new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new words; a word that a space must not be cut from has none."""
+        if len(words) > NEW_AT_ONCE:
+            cuts = range(0, len(words), NEW_AT_ONCE)
+            parts = [self.new_words(words[i : i + NEW_AT_ONCE]) for i in cuts]
+            return np.concatenate([f for f, _ in parts]), np.concatenate([n for _, n in parts])
         if not self.spaced:
             return self.ids_of(words)
         bound = np.array([not w or w[0].isspace() for w in words], dtype=bool)
@@ -250,7 +257,7 @@ class WordIds:
 
     def whole(self, text: str) -> np.ndarray:
         """One text that words don't make up: special strings, runs of white space."""
-        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = library(self.path).encode(text, add_special_tokens=False).ids
         return np.array(found, dtype=np.uint32)
 
     def spaced_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,6 +306,14 @@ class WordIds:
         return ids, np.cumsum(np.add.reduceat(lengths, edges[:-1] - edges[0])), odd
 
 
+@functools.lru_cache(maxsize=1)
+def library(path: str):
+    """The tokenizer as its file has it, for texts with special strings or runs of blanks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One table per worker process, read from the installed tokenizer file."""
