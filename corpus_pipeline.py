@@ -19,7 +19,7 @@ from riskweave.llm.near_dedup import near_duplicates
 from riskweave.llm.packing import pack_documents
 from riskweave.llm.queries import fold
 from riskweave.llm.toxicity import fit_toxicity, toxicity_scores
-from riskweave.session import scratch_dir, written_table
+from riskweave.session import owned_tables, scratch_dir, written_table
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -111,10 +111,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written, and the next stage reads it."""
+    """All stages on ``documents``; each result is written, and the next stage reads it.
+
+    What a stage writes on its way is deleted once its result is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{scratch_dir(spark)}/riskweave/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with owned_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
