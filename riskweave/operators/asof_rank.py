@@ -1,7 +1,9 @@
 """Rank of an amount among its account's amounts so far, for accounts of any size.
 
 The number of earlier rows with a smaller or equal amount is a count of dominated points
-in the plane of (place in the account, amount). Rows are cut twice: into blocks of
+in the plane of (place in the account, amount). Accounts of ordinary size are grouped by
+one exchange, and points are counted in stretches of whole accounts. The rows of larger
+accounts are cut twice: into blocks of
 consecutive places, and into blocks of consecutive amounts. An earlier, smaller row is
 
 * in the same block of places: counted inside that block;
@@ -15,15 +17,23 @@ all rows is many blocks. Inside a block, points are counted by merging sorted ha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from riskweave.operators.ordering import ordered_blocks, row_index, running_totals
+from riskweave.operators.ordering import by_entity, ordered_blocks, row_index, running_totals
+from riskweave.session import written_table
 
+#: Accounts with more rows than this are cut into blocks.
+HOT_ROWS = 100_000
+#: Rows of whole accounts that are counted together, about.
+STRETCH_ROWS = 100_000
 #: Blocks of one account at most; its table of cells is that long and wide.
 MAX_BLOCKS = 4000
 
@@ -61,14 +71,77 @@ def _starts(groups: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(begins, np.arange(len(groups)), 0))
 
 
-def amounts_so_far(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def amounts_so_far(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``rows`` with ``_asof``: the average-tie percentile of ``amount_value`` so far.
 
     Rows are placed by ``order`` within ``keys``; a row sees itself and those before it.
-    Copies of a row are told apart by a number that is written first. NULL amounts come
-    first, as equal ones.
+    Copies of a row are told apart by a number in the order they are read. NULL amounts
+    come first, as equal ones. Accounts beyond ``hot_rows`` are cut into blocks.
     """
     keys = list(keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = sizes.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > hot_rows).alias("hot")).first()
+    total = found["rows"] or 0
+    if not found["hot"]:
+        return _within_accounts(rows, keys, order, total)
+    special = sizes.filter(F.col("_n") > hot_rows).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")
+    )
+    special = written_table(special, "asof-hot")
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    marked = rows.join(special, same, "left")
+    ordinary = marked.filter("_hot IS NULL").select(*rows.columns)
+    hot = marked.filter("_hot").select(*rows.columns)
+    return _within_accounts(ordinary, keys, order, total).unionByName(_through_blocks(hot, keys, order))
+
+
+def _within_accounts(rows: DataFrame, keys: list[str], order: Sequence[str], total: int) -> DataFrame:
+    """Each account whole in one task; points are counted over stretches of accounts."""
+    numbered = rows.withColumn("_copy", F.monotonically_increasing_id())
+    level = F.dense_rank().over(W.partitionBy(*keys).orderBy("amount_value"))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order, "_copy"))
+    placed = by_entity(numbered, keys, total).withColumn("_level", level).withColumn("_nth", nth).drop("_copy")
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            # Stretches end where an account begins.
+            first = np.flatnonzero(b.column("_nth").to_numpy() == 1)
+            if len(first) and size + first[-1] >= STRETCH_ROWS:
+                yield from _with_percentiles([*held, b.slice(0, first[-1])])
+                b, held, size = b.slice(first[-1]), [], 0
+            held.append(b)
+            size += b.num_rows
+        if size:
+            yield from _with_percentiles(held)
+
+    return placed.mapInArrow(ranks, StructType([*rows.schema.fields, StructField("_asof", DoubleType())]))
+
+
+def _with_percentiles(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Percentiles so far of whole accounts, one after the other in their order."""
+    rows = pa.Table.from_batches(held)
+    nth, level = rows["_nth"].to_numpy().astype(np.int64), rows["_level"].to_numpy()
+    places = np.arange(len(nth))
+    start = places - (nth - 1)
+    by_amount = np.lexsort((places, level, start))
+    rank = np.empty(len(nth), dtype=np.int64)
+    rank[by_amount] = places
+    # Earlier rows of the account that are smaller or equal: rows of earlier accounts all are.
+    reached = dominated(rank) - start
+    at, of = start[by_amount], level[by_amount]
+    begins = np.append(True, (at[1:] != at[:-1]) | (of[1:] != of[:-1]))
+    equal = np.empty(len(nth), dtype=np.int64)
+    equal[by_amount] = places - np.maximum.accumulate(np.where(begins, places, 0))
+    asof = (reached - equal + (equal + 2) / 2) / nth
+    return rows.drop_columns(["_nth", "_level"]).append_column("_asof", pa.array(asof)).to_batches()
+
+
+def _through_blocks(rows: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
+    """Cuts through the accounts, by places and by amounts."""
     numbered = rows.withColumn("_copy", F.monotonically_increasing_id())
     blocks = ordered_blocks(numbered, [*keys, *order, "_copy"], "asof-places")
     seen = running_totals(blocks, [*keys, "amount_value"], {"_equal": F.lit(1)}, keys_lead_order=False)

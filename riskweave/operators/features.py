@@ -99,7 +99,7 @@ def build_features(
     rows = unify_schema(df).dropna(subset=["account", "close_time"])
     special, plans = special_entities(rows, opts, hot_rows)
     if not plans:
-        return project(grouped_features(_ranked_so_far(prepare(df, opts), opts, look_ahead), opts), keep)
+        return project(grouped_features(_ranked_so_far(prepare(df, opts), opts, look_ahead, hot_rows), opts), keep)
     from riskweave.operators.hot_features import split_features
 
     if sum(plans.values()) <= BROADCAST_ACCOUNTS:
@@ -108,7 +108,7 @@ def build_features(
 
     def part(condition: Column, features) -> DataFrame:
         base = prepare(marked.filter(condition).drop("_plan"), opts)
-        base = _ranked_so_far(base, opts, look_ahead)
+        base = _ranked_so_far(base, opts, look_ahead, hot_rows)
         return features(base, opts).select(*_staged(base))
 
     out = part(F.col("_plan").isNull(), grouped_features)
@@ -123,13 +123,13 @@ def build_features(
 LINEAR, SPLIT = "linear", "split"
 
 
-def _ranked_so_far(base: DataFrame, opts: FeatureOptions, look_ahead: bool) -> DataFrame:
+def _ranked_so_far(base: DataFrame, opts: FeatureOptions, look_ahead: bool, hot_rows: int) -> DataFrame:
     """``base``, with the rank of each amount so far unless the whole history counts."""
     if look_ahead:
         return base
     from riskweave.operators.asof_rank import amounts_so_far
 
-    return amounts_so_far(base, opts.entity, ROW_ORDER)
+    return amounts_so_far(base, opts.entity, ROW_ORDER, hot_rows)
 
 
 def special_entities(

@@ -15,6 +15,18 @@ from riskweave.session import written_table
 SELECTION_LIMIT = 200_000
 #: Relative rank error of the sketch that narrows a selection.
 SKETCH_ACCURACY = 10_000
+#: Rows of a task that holds whole entities, about.
+ENTITY_TASK_ROWS = 100_000
+
+
+def by_entity(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` grouped by ``keys``, in as many tasks as its number of ``rows`` asks for.
+
+    A session's number of shuffle partitions doesn't grow with the tables, and with them
+    the memory of a task would.
+    """
+    tasks = -(-rows // ENTITY_TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df.repartition(*keys)
 
 
 def ordered_blocks(df: DataFrame, order: Sequence[str], label: str = "blocks") -> DataFrame:

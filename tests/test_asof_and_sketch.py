@@ -55,6 +55,22 @@ def test_asof_rank_by_brute_force(spark, amounts):
     assert {r["hash"]: pytest.approx(r["_asof"], abs=1e-12) for r in got} == want
 
 
+def test_asof_rank_of_ordinary_accounts_takes_one_exchange(spark, monkeypatch):
+    """Stretches of whole accounts, and the plan through blocks for the larger ones beside them."""
+    rows = random_rows(600, 24)
+    base = prepare(spark.createDataFrame(rows, SCHEMA), FeatureOptions(300_000_000))
+    want = {h: pytest.approx(v, abs=1e-12) for h, v in brute_asof(rows).items()}
+    monkeypatch.setattr("riskweave.operators.asof_rank.STRETCH_ROWS", 50)
+    plain = amounts_so_far(base, ["account"], ROW_ORDER)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["hash"]: r["_asof"] for r in plain.collect()} == want
+    some = sorted(base.groupBy("account").count().collect(), key=lambda r: r["count"])
+    for hot_rows in (1, some[len(some) // 2]["count"]):
+        split = amounts_so_far(base, ["account"], ROW_ORDER, hot_rows)
+        assert split.columns == plain.columns
+        assert {r["hash"]: r["_asof"] for r in split.collect()} == want
+
+
 def test_features_without_look_ahead(spark):
     rows = random_rows(300, 22)
     df = spark.createDataFrame(rows, SCHEMA)
