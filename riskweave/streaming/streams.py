@@ -64,27 +64,33 @@ def csv_by_header(files: DataFrame, column: str = "value") -> DataFrame:
     def fields(row):
         return F.array(*[F.col(row)[f"c{i}"] for i in range(CSV_COLUMNS)])
 
-    lines = F.split(F.regexp_replace(F.col(column), "^\ufeff", ""), "\r?\n")
-    body = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: line != "")
-    # Lines leave the generator parsed; as plain columns they would be parsed for each field.
-    both = F.transform(
-        body, lambda line: F.struct(parsed(F.get(lines, F.lit(0))).alias("names"), parsed(line).alias("fields"))
+    # Inside a generator an expression runs once; as a plain column it would for each use.
+    lines = files.select(F.explode(F.array(F.split(column, "\r?\n"))).alias("_lines"))
+    header = F.regexp_replace(F.get("_lines", F.lit(0)), "^\ufeff", "")
+    # The header is parsed once for its file, and lines take along where each column is.
+    heads = lines.select("_lines", F.explode(F.array(parsed(header))).alias("_head"))
+    names = F.transform(fields("_head"), lambda n: F.trim(n))
+    heads = heads.select("_lines", F.explode(F.array(names)).alias("_names"))
+    known = [*RAW_SCHEMA.fieldNames(), *RAW_ALIASES.values()]
+    places = F.struct(
+        F.array_position("_names", mark).alias("width"),
+        F.arrays_overlap("_names", F.array(*[F.lit(n) for n in known])).alias("named"),
+        *[F.array_position("_names", n).cast("int").alias(f"at{i}") for i, n in enumerate(known)],
     )
-    rows = files.select(F.explode(both).alias("_line")).select(
-        F.transform(fields("_line.names"), lambda n: F.trim(n)).alias("_names"),
-        fields("_line.fields").alias("_fields"),
+    placed = heads.select("_lines", F.explode(F.array(places)).alias("_at"))
+    body = placed.select("_at", F.posexplode("_lines").alias("_nth", "_line"))
+    rows = body.filter((F.col("_nth") > 0) & (F.col("_line") != "")).select(
+        "_at", F.explode(F.array(parsed(F.col("_line")))).alias("_row")
     )
-    known = [*RAW_SCHEMA.fieldNames(), *RAW_ALIASES.values()]
-    width = lambda f: F.array_position(f, mark)
-    same = width(F.col("_names")) == width(F.col("_fields"))
-    named = F.arrays_overlap("_names", F.array(*[F.lit(n) for n in known]))
-    checked = F.when(same & named, F.col("_fields")).otherwise(
+    rows = rows.select("_at", F.explode(F.array(fields("_row"))).alias("_fields"))
+    same = F.col("_at.width") == F.array_position("_fields", mark)
+    checked = F.when(same & F.col("_at.named"), F.col("_fields")).otherwise(
         F.raise_error(F.lit("CSV line and header don't match")).cast("array<string>")
     )
-    rows = rows.select("_names", checked.alias("_fields"))
+    rows = rows.select("_at", F.explode(F.array(checked)).alias("_fields"))
 
     def value(name):
-        at = F.array_position("_names", name).cast("int")
+        at = F.col(f"_at.at{known.index(name)}")
         return F.when(at > 0, F.get("_fields", at - 1))
 
     return rows.select(

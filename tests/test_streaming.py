@@ -158,6 +158,20 @@ def test_csv_stream_follows_each_header(spark, tmp_path):
         run("broken")
 
 
+def test_csv_stream_of_a_long_file(spark, tmp_path):
+    """The lines of a file are found once, not again for each line."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    lines = [f"{'m' * 60},h{i},A{i % 7}" for i in range(30_000)]
+    (folder / "a.csv").write_text("memo,hash,account\n" + "\n".join(lines) + "\n")
+    began = time.monotonic()
+    out = str(tmp_path / "out")
+    to_table(stream_raw(spark, str(folder), "csv"), out, str(tmp_path / "state"))
+    assert time.monotonic() - began < 60
+    got = spark.read.parquet(out)
+    assert got.agg(F.count_distinct("hash", "account")).first()[0] == got.count() == 30_000
+
+
 def test_sessions(spark, tmp_path):
     rows = random_rows(40, 14, accounts=("a",), seconds=20000)
     stream = write_in_files(spark, rows, str(tmp_path / "in"), 1)
