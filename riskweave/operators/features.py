@@ -19,6 +19,7 @@ from riskweave.functions import (
 )
 from riskweave.operators.linear_windows import with_window_measures
 from riskweave.operators.normalize import unify_schema
+from riskweave.operators.ordering import by_entity
 from riskweave.schema import (
     DORMANCY_CAP,
     FEATURE_COLUMNS,
@@ -97,9 +98,10 @@ def build_features(
         duration_us(window), rows, min_rows, ties, tuple(entity), ignore_empty_memo
     )
     rows = unify_schema(df).dropna(subset=["account", "close_time"])
-    special, plans = special_entities(rows, opts, hot_rows)
+    special, plans, total = _plans(rows, opts, hot_rows)
     if not plans:
-        return project(grouped_features(_ranked_so_far(prepare(df, opts), opts, look_ahead, hot_rows), opts), keep)
+        base = _ranked_so_far(prepare(df, opts), opts, look_ahead, hot_rows)
+        return project(grouped_features(base, opts, total), keep)
     from riskweave.operators.hot_features import split_features
 
     if sum(plans.values()) <= BROADCAST_ACCOUNTS:
@@ -111,9 +113,9 @@ def build_features(
         base = _ranked_so_far(base, opts, look_ahead, hot_rows)
         return features(base, opts).select(*_staged(base))
 
-    out = part(F.col("_plan").isNull(), grouped_features)
+    out = part(F.col("_plan").isNull(), lambda base, o: grouped_features(base, o, total))
     if LINEAR in plans:
-        linear = part(F.col("_plan") == LINEAR, lambda base, o: grouped_features(base, o, linear=True))
+        linear = part(F.col("_plan") == LINEAR, lambda base, o: grouped_features(base, o, total, linear=True))
         out = out.unionByName(linear)
     if SPLIT in plans:
         out = out.unionByName(part(F.col("_plan") == SPLIT, split_features))
@@ -140,14 +142,22 @@ def special_entities(
     A table of the entities is written, as it is read for every plan. How many rows a
     window holds is counted only where there are entities of more than SMALL_ROWS rows.
     """
+    return _plans(rows, opts, hot_rows)[:2]
+
+
+def _plans(
+    rows: DataFrame, opts: FeatureOptions, hot_rows: int
+) -> tuple[DataFrame | None, dict[str, int], int]:
+    """``special_entities``, and the number of rows."""
     keys = list(opts.entity)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     found = counts.agg(
+        F.sum("_n").alias("rows"),
         F.count_if(F.col("_n") > hot_rows).alias("hot"),
         F.count_if(F.col("_n") > SMALL_ROWS).alias("large"),
     ).first()
     if not found["large"] and not found["hot"]:
-        return None, {}
+        return None, {}, found["rows"] or 0
     special = counts.filter(F.col("_n") > hot_rows).select(*keys, F.lit(SPLIT).alias("_plan"))
     if found["large"]:
         large = counts.filter((F.col("_n") > SMALL_ROWS) & (F.col("_n") <= hot_rows)).select(*keys)
@@ -163,7 +173,8 @@ def special_entities(
         dense = work.filter(F.col("_work") > DENSE_ROWS * F.col("_n"))
         special = special.unionByName(dense.select(*keys, F.lit(LINEAR).alias("_plan")))
     special = written_table(special, "plans")
-    return special, {r["_plan"]: r["count"] for r in special.groupBy("_plan").count().collect()}
+    plans = {r["_plan"]: r["count"] for r in special.groupBy("_plan").count().collect()}
+    return special, plans, found["rows"]
 
 
 def prepare(df: DataFrame, opts: FeatureOptions) -> DataFrame:
@@ -200,8 +211,10 @@ def prepare(df: DataFrame, opts: FeatureOptions) -> DataFrame:
     )
 
 
-def grouped_features(base: DataFrame, opts: FeatureOptions, linear: bool = False) -> DataFrame:
-    """All window features with one exchange on the entity.
+def grouped_features(
+    base: DataFrame, opts: FeatureOptions, total: int = 0, linear: bool = False
+) -> DataFrame:
+    """All window features with one exchange on the entity, in tasks that ``total`` rows ask for.
 
     ``linear`` takes the trailing-time measures from running sums, not sliding frames.
     """
@@ -211,6 +224,7 @@ def grouped_features(base: DataFrame, opts: FeatureOptions, linear: bool = False
     same_amount = W.partitionBy(*keys, "amount_value")
     same_memo = W.partitionBy(*keys, "_memo").orderBy(*ROW_ORDER)
     measures = []
+    base = by_entity(base, keys, total)
     if linear:
         base = with_window_measures(base, keys, opts.window_us, opts.ties)
     else:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskweave.operators.features import ROW_ORDER, FeatureOptions, row_measures
-from riskweave.operators.ordering import ordered_blocks, row_index, running_totals
+from riskweave.operators.ordering import by_entity, ordered_blocks, row_index, running_totals
 from riskweave.session import written_table
 
 #: Rows per chunk of the trailing-row windows.
@@ -47,13 +47,14 @@ def split_features(hot: DataFrame, opts: FeatureOptions, chunk_rows: int = CHUNK
     # Copies of a transaction agree in every order column; the written number tells them apart.
     numbered = hot.withColumn("_present", present).withColumn("_copy", F.monotonically_increasing_id())
     rows = written_table(numbered, "hot")
+    total = rows.count()
     cells = trailing_sums(rows, opts).join(trailing_distinct(rows, opts), [*keys, "_us"])
-    ranked = rows.join(amount_percentile(rows, keys), [*keys, "amount_value"])
+    ranked = rows.join(amount_percentile(rows, keys, total), [*keys, "amount_value"])
     timed = ranked.join(cells, [*keys, "_us"])
     if opts.ties == "positional":
-        timed = _positional(timed, rows, opts)
-    blocks = ordered_blocks(timed, [*keys, *ROW_ORDER, "_copy"], "ledger-order")
-    seen = running_totals(blocks, [*keys, "_memo"], {"_seen": F.lit(1)}, keys_lead_order=False)
+        timed = _positional(timed, rows, opts, total)
+    blocks = ordered_blocks(timed, [*keys, *ROW_ORDER, "_copy"], "ledger-order", total)
+    seen = running_totals(blocks, [*keys, "_memo"], {"_seen": F.lit(1)}, keys_lead_order=False, rows=total)
     named = row_index(seen).select(
         *[c for c in hot.columns],
         "_row",
@@ -71,7 +72,7 @@ def split_features(hot: DataFrame, opts: FeatureOptions, chunk_rows: int = CHUNK
     chunk = F.floor(F.col("_row") / size)
     late = F.pmod(F.col("_row"), F.lit(size)) >= size - (opts.rows - 1)
     copies = F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    chunked = named.withColumn("_chunk", F.explode(copies))
+    chunked = by_entity(named.withColumn("_chunk", F.explode(copies)), ["_chunk", *keys], total)
     ordered = W.partitionBy("_chunk", *keys).orderBy("_row")
     return row_measures(chunked, ordered, opts).filter(F.col("_chunk") == chunk)
 
@@ -211,11 +212,11 @@ def trailing_distinct(rows: DataFrame, opts: FeatureOptions) -> DataFrame:
     )
 
 
-def amount_percentile(rows: DataFrame, keys: list[str]) -> DataFrame:
+def amount_percentile(rows: DataFrame, keys: list[str], total: int = 0) -> DataFrame:
     """Average-tie percentile rank of each distinct amount of an entity."""
     counts = rows.groupBy(*keys, "amount_value").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = ordered_blocks(counts, [*keys, "amount_value"], "amounts")
-    upto = running_totals(blocks, keys, {"_upto": F.col("_n")}, keys_lead_order=True)
+    blocks = ordered_blocks(counts, [*keys, "amount_value"], "amounts", total)
+    upto = running_totals(blocks, keys, {"_upto": F.col("_n")}, keys_lead_order=True, rows=total)
     totals = blocks.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
     return upto.join(totals, keys).select(
@@ -223,11 +224,11 @@ def amount_percentile(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _positional(timed: DataFrame, rows: DataFrame, opts: FeatureOptions) -> DataFrame:
+def _positional(timed: DataFrame, rows: DataFrame, opts: FeatureOptions, total: int) -> DataFrame:
     """Replace the equal-time part of each measure by that of the rows so far."""
     keys = list(opts.entity)
     at_time = [*keys, "_us"]
-    blocks = ordered_blocks(timed, [*at_time, "ledger_index", "hash", "_copy"], "time-order")
+    blocks = ordered_blocks(timed, [*at_time, "ledger_index", "hash", "_copy"], "time-order", total)
     so_far = running_totals(
         blocks,
         at_time,

@@ -27,14 +27,14 @@ ENTER, LEAVE, EXPIRE = 0, 1, 2
 
 
 def with_window_measures(base: DataFrame, keys: list[str], window_us: int, ties: str) -> DataFrame:
-    """``base`` (output of ``prepare``) with the measures of its trailing windows.
+    """``base`` (output of ``prepare``, grouped by entity) with the measures of its trailing windows.
 
     Adds total_volume_5m, rolling_tx_count_5m, _dests, _cancels, _offers and _fails, equal
     to those of a sliding frame with the same ``ties``.
     """
     of_destination = W.partitionBy(*keys, "destination").orderBy("_us", "ledger_index", "hash")
     previous = F.lag("_us").over(of_destination)
-    used = base.repartition(*keys).select(
+    used = base.select(
         "*",
         F.col("hash").isNotNull().cast("int").alias("_present"),
         F.lead("_us").over(of_destination).alias("_next_use"),

@@ -29,17 +29,20 @@ def by_entity(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     return df.repartition(tasks, *keys) if tasks > 1 else df.repartition(*keys)
 
 
-def ordered_blocks(df: DataFrame, order: Sequence[str], label: str = "blocks") -> DataFrame:
+def ordered_blocks(df: DataFrame, order: Sequence[str], label: str = "blocks", rows: int = 0) -> DataFrame:
     """Rows cut into balanced, consecutive ranges of ``order``.
 
     Adds ``_block`` (range number) and ``_pos`` (position inside it). ``order``
     should end in a row key: then even one account, or one value, that holds a
     third of all rows is spread over many blocks. The result is a written table,
-    because range bounds are sampled and must not change between two reads.
+    because range bounds are sampled and must not change between two reads. If the number
+    of ``rows`` is given, there are as many blocks as it asks for.
     """
     cols = [F.col(c) for c in order]
+    tasks = -(-rows // ENTITY_TASK_ROWS)
     # Without a fixed number, adaptive execution merges ranges that turn out small.
-    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ranged = df.repartitionByRange(tasks, *cols) if tasks > 1 else df.repartitionByRange(*cols)
+    ranged = ranged.sortWithinPartitions(*cols)
     # The id is (partition << 33) + position, in the order just sorted.
     placed = ranged.withColumn("_id", F.monotonically_increasing_id())
     return written_table(
@@ -72,6 +75,7 @@ def running_totals(
     keys: Sequence[str],
     sums: dict[str, Column],
     keys_lead_order: bool,
+    rows: int = 0,
 ) -> DataFrame:
     """Inclusive running sums of each key in block order.
 
@@ -79,11 +83,13 @@ def running_totals(
     earlier blocks that hold the same key. When the keys lead the block order
     (``keys_lead_order``), a key that continues into a block is that block's
     first key, so at most one carry row per block exists and it is broadcast;
-    otherwise the carries are joined by shuffle on (block, keys).
+    otherwise the carries are joined by shuffle on (block, keys). ``rows`` is the number
+    of rows, where it is known: tasks follow it.
     """
     keys = list(keys)
+    placed = by_entity(blocks, ["_block", *keys], rows) if rows else blocks
     local = W.partitionBy("_block", *keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
-    inner = blocks.select("*", *[F.sum(c).over(local).alias(n) for n, c in sums.items()])
+    inner = placed.select("*", *[F.sum(c).over(local).alias(n) for n, c in sums.items()])
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         blocks.groupBy("_block", *keys)

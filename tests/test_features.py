@@ -310,3 +310,21 @@ def test_scalar_functions(spark):
     assert [r[0] for r in df.select(contains_url("t")).collect()] == [1, 1, 1, 0, 0, 0]
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 4.0)], "n double, d double")
     assert [r[0] for r in df.select(safe_div("n", "d")).collect()] == [0.0, 0.25]
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Whatever the session's number of shuffle partitions, a task gets a bounded number of rows."""
+    from riskweave.operators import ordering
+
+    df = spark.createDataFrame(random_rows(400, 31), SCHEMA)
+    want = sorted(build_features(df).collect())
+    monkeypatch.setattr(ordering, "ENTITY_TASK_ROWS", 20)
+    made = build_features(df)
+    assert "hashpartitioning(account#" in (plan := made._jdf.queryExecution().executedPlan().toString())
+    assert ", 20), REPARTITION_BY_NUM" in plan
+    assert sorted(made.collect()) == want
+    hot = build_features(df, hot_rows=20)
+    assert "REPARTITION_BY_NUM" in hot._jdf.queryExecution().executedPlan().toString()
+    got = {r["hash"]: r for r in hot.collect()}
+    for r in want:
+        assert list(got[r["hash"]])[4:] == pytest.approx(list(r)[4:])
