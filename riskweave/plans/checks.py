@@ -760,9 +760,12 @@ def stream_late(spark, sf_dir):
     events = events_as_transactions(spark, sf_dir).select("hash", "account", "close_time", "ledger_index")
     path, out = fresh_path(spark, "late-stream"), fresh_path(spark, "late-split")
     part = F.format_string("%04d", F.col("ledger_index") % LATE_FILES)
-    # The reader takes files in the order of their time: one task writes them one by one.
-    cut = events.withColumn("part", part).coalesce(1).sortWithinPartitions("part")
-    cut.write.partitionBy("part").parquet(path)
+    # The reader takes files in the order of their time: they are written one by one, unsorted.
+    staged = fresh_path(spark, "late-parts")
+    events.withColumn("part", part).write.partitionBy("part").parquet(staged)
+    for (name,) in sorted(events.select(part).distinct().collect()):
+        rows = spark.read.schema(events.schema).parquet(f"{staged}/part={name}")
+        rows.coalesce(1).write.parquet(f"{path}/part={name}")
     stream = (
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/part=*")
     )
