@@ -15,7 +15,7 @@ from riskweave.operators.forest import ForestModel
 from riskweave.operators.normalize import drop_incomplete, normalize
 from riskweave.schema import FEATURE_COLUMNS, RAW_SCHEMA
 from riskweave.sources.readers import CSV_OPTIONS, RAW_ALIASES, raw_from_json
-from riskweave.streaming.state import INPUT_FIELDS, OUTPUT_SCHEMA, TrailingFeatures
+from riskweave.streaming.state import GROUPS, OUTPUT_SCHEMA, TrailingFeatures, packed, unpacked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -119,24 +119,26 @@ def stream_features(
     delay: str = "10 minutes",
     memo_ttl_ms: int | None = None,
     amounts: DataFrame | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """The batch features of a stream of transactions, once they are final.
 
     A row is emitted when the watermark (newest time minus ``delay``) has passed
     it. The rank of an amount in its account's whole history cannot be
     known from a stream; with ``amounts`` (see :func:`amount_table`) it is looked
-    up, without it is 0.
+    up, without it is 0. State is kept for ``groups`` groups of accounts; like the window,
+    their number must stay when a stream is started again.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     opts = FeatureOptions(duration_us(window), rows, min_rows)
     base = prepare(df, opts).withWatermark("close_time", delay)
-    measured = base.select(*INPUT_FIELDS).groupBy("account").transformWithStateInPandas(
+    measured = packed(base, groups).groupBy("_group").transformWithStateInPandas(
         statefulProcessor=TrailingFeatures(opts, memo_ttl_ms),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
     )
-    timed = measured.withColumn("close_time", F.timestamp_micros("_us"))
+    timed = unpacked(measured).withColumn("close_time", F.timestamp_micros("_us"))
     if amounts is None:
         ranked = timed.withColumn("tx_size_percentile_local", F.lit(0.0))
     else:

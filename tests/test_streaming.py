@@ -190,3 +190,88 @@ def test_amount_rank(spark):
     got = {(r["account"], r["amount_value"]): r["tx_size_percentile_local"] for r in with_amount_rank(probe, amount_table(df)).collect()}
     assert got[("A", 0.5)] == 0.0 and got[("A", 1000.0)] == 1.0 and got[("B", 1.0)] == 1.0
     assert got[("A", 50.0)] == pytest.approx(0.5, abs=0.02)
+
+
+class CountedState:
+    """State of one group that counts its calls, as a list, a value or a map."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def _called(self, held):
+        self.held, self.calls = held, self.calls + 1
+
+    def get(self):
+        self._called(self.held)
+        return self.held if self.held is not None else []
+
+    def clear(self):
+        self._called(None)
+
+    def put(self, values):
+        self._called(list(values))
+
+    def appendValue(self, value):
+        self._called([*(self.held or []), value])
+
+    def update(self, value):
+        self._called(value)
+
+    def getValue(self, key):
+        self._called(self.held or {})
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self._called({**(self.held or {}), key: value})
+
+
+def test_calls_of_the_state_do_not_grow_with_rows_or_memos():
+    """Rows, memos and accounts of a group are stored together; many memos go to the map."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from riskweave.operators.features import FeatureOptions
+    from riskweave.streaming import state as st
+
+    states = {n: CountedState() for n in ("open", "trail", "memos")}
+    handle = SimpleNamespace(
+        getListState=lambda *a: states["open"],
+        getValueState=lambda *a: states["trail"],
+        getMapState=lambda *a, **k: states["memos"],
+        registerTimer=lambda ms: None,
+    )
+    worker = st.TrailingFeatures(FeatureOptions(10_000_000))
+    worker.init(handle)
+
+    def run(rows):
+        """Rows (account, seconds, memo) arrive and become final; how often memos were seen."""
+        given = [
+            [0, None, a, f"{a}{t}", t, t * 1_000_000, "d", m, np.array([1.0, 0, 0, 0, 0, 0, 0, 0])] for a, t, m in rows
+        ]
+        for s in states.values():
+            s.calls = 0
+        assert not list(worker.handleInputRows((0,), iter([pd.DataFrame(given)]), None))
+        late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9)
+        (out,) = worker.handleExpiredTimer((0,), late, None)
+        at = list(st.OUTPUT_NUMBERS).index("_memo_seen")
+        volume = list(st.OUTPUT_NUMBERS).index("total_volume_5m")
+        return [(r.account, r[4], r[6][at], r[6][volume]) for r in out.itertuples()]
+
+    few = run([(a, t, f"m{t % 3}") for a in "ab" for t in range(100)])
+    calls = sum(s.calls for s in states.values())
+    assert calls < 10
+    want = [(a, t * 1_000_000, float(t // 3), float(min(t + 1, 10))) for a in "ab" for t in range(100)]
+    assert few == want
+    # The next rows continue the window and the counts.
+    assert run([("a", 100, "m0"), ("b", 100, "new")]) == [
+        ("a", 100_000_000, 34.0, 10.0), ("b", 100_000_000, 0.0, 10.0),
+    ]
+    # An account with many memos moves them to the map, once, and goes on from there.
+    many = run([("a", 101 + t, f"x{t}") for t in range(st.MEMOS_TOGETHER)])
+    assert {m for _, _, m, _ in many} == {0.0} and len(states["memos"].held) == st.MEMOS_TOGETHER + 3
+    assert run([("a", 1000, "m0"), ("a", 1001, "x5"), ("b", 1000, "new")]) == [
+        ("a", 1_000_000_000, 35.0, 1.0), ("a", 1_001_000_000, 1.0, 2.0), ("b", 1_000_000_000, 1.0, 1.0),
+    ]
+    assert states["memos"].calls <= 5
