@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +16,8 @@ from riskweave.session import written_table
 SELECTION_LIMIT = 200_000
 #: Relative rank error of the sketch that narrows a selection.
 SKETCH_ACCURACY = 10_000
+#: Aggregates of one plan at most, counts and sketches.
+COMPILED_COUNTS, COMPILED_SKETCHES = 24, 4
 #: Rows of a task that holds whole entities, about.
 ENTITY_TASK_ROWS = 100_000
 
@@ -169,6 +172,22 @@ def select_ranks(
     return found
 
 
+def _aggregated(df: DataFrame, aggs: list[Column], together: int) -> list:
+    """Values of aggregates of one type, ``together`` at most in one plan, all in one job.
+
+    Code of hundreds of aggregates is too long to be compiled and runs many times slower;
+    each plan reads only its own columns.
+    """
+    if len(aggs) <= together:
+        return list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+    parts = [
+        df.agg(F.array(*aggs[i : i + together]).alias("found")).select(F.lit(i).alias("at"), "found")
+        for i in range(0, len(aggs), together)
+    ]
+    rows = reduce(DataFrame.union, parts).collect()
+    return [v for r in sorted(rows, key=lambda r: r["at"]) for v in r["found"]]
+
+
 def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> list[_Search]:
     eps = 2.0 / SKETCH_ACCURACY
     probs = [
@@ -182,30 +201,30 @@ def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> list[_Search
     shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(searches):
         shared.setdefault((s.column, s.low, s.high), []).append(i)
-    row = df.agg(
-        *[
-            F.percentile_approx(
-                F.when(searches[ids[0]].rows(), F.col(key[0])),
-                [p for i in ids for p in probs[i]],
-                SKETCH_ACCURACY,
-            ).alias(f"m{j}")
-            for j, (key, ids) in enumerate(shared.items())
-        ]
-    ).first()
+    sketches = [
+        F.percentile_approx(
+            F.when(searches[ids[0]].rows(), F.col(key[0])),
+            [p for i in ids for p in probs[i]],
+            SKETCH_ACCURACY,
+        )
+        for key, ids in shared.items()
+    ]
+    found_marks = _aggregated(df, sketches, COMPILED_SKETCHES)
     marks: dict[int, tuple] = {}
     for j, ids in enumerate(shared.values()):
         for at, i in enumerate(ids):
-            marks[i] = (row[f"m{j}"][2 * at], row[f"m{j}"][2 * at + 1])
+            marks[i] = (found_marks[j][2 * at], found_marks[j][2 * at + 1])
     aggs = []
     for i, s in enumerate(searches):
         c, (low, high), here = F.col(s.column), marks[i], s.rows()
         aggs += [
-            F.count_if(here & (c < F.lit(low))).alias(f"u{i}"),
-            F.count_if(here & (c == F.lit(low))).alias(f"l{i}"),
-            F.count_if(here & (c > F.lit(low)) & (c < F.lit(high))).alias(f"b{i}"),
-            F.count_if(here & (c == F.lit(high))).alias(f"h{i}"),
+            F.count_if(here & (c < F.lit(low))),
+            F.count_if(here & (c == F.lit(low))),
+            F.count_if(here & (c > F.lit(low)) & (c < F.lit(high))),
+            F.count_if(here & (c == F.lit(high))),
         ]
-    row = df.agg(*aggs).first()
+    counts = _aggregated(df, aggs, COMPILED_COUNTS)
+    row = {f"{kind}{i}": counts[4 * i + k] for i in range(len(searches)) for k, kind in enumerate("ulbh")}
     left = []
     for i, s in enumerate(searches):
         low, high = marks[i]
@@ -289,7 +308,9 @@ def exact_quantiles(
         row = df.agg(*[F.percentile(c, F.lit(probs)).alias(c) for c in columns]).first()
         return {c: list(row[c] or [None] * len(probs)) for c in columns}
     # NULLs have no rank, and columns may differ in how many they have.
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    sizes = dict.fromkeys(columns, n)
+    if nullable := [c for c in columns if df.schema[c].nullable]:
+        sizes |= df.agg(*[F.count(c).alias(c) for c in nullable]).first().asDict()
     out: dict[str, list] = {c: [None] * len(probs) for c in columns}
     for size in sorted(set(sizes.values()) - {0}):
         same = [c for c in columns if sizes[c] == size]

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import clip
 from riskweave.functions.scalar import finite_or_zero
 from riskweave.operators.ordering import exact_quantiles
+from riskweave.session import written_table
 
 # Fixed values of the calibration.
 FENCE = 3.0
@@ -33,7 +35,9 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], n: int | None = None) -> RobustScaler:
-        doubles = df.select(*[finite_or_zero(F.col(c).cast("double")).alias(c) for c in columns])
+        # Never NULL, and known not to be: that saves a count.
+        finite = {c: F.coalesce(finite_or_zero(F.col(c).cast("double")), F.lit(0.0)) for c in columns}
+        doubles = df.select(*[v.alias(c) for c, v in finite.items()])
         q = exact_quantiles(doubles, columns, [0.25, 0.5, 0.75], n)
         return cls(
             tuple(columns),
@@ -55,16 +59,45 @@ class RobustScaler:
         )
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Rows, means and centred products of two sets of rows together."""
+    n = a[0] + b[0]
+    if not n:
+        return a
+    apart = b[1] - a[1]
+    products = a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+    return n, a[1] + apart * (b[0] / n), products
+
+
 def first_component(df: DataFrame, columns: Sequence[str]) -> Column:
     """Projection on the first principal component.
 
-    The covariance is summed on the executors; the driver decomposes one small
-    matrix. The column is not centred, which neither a fence nor a rank notices.
+    Each task sums its rows' products in one pass; the driver adds up one small matrix a
+    task and decomposes the sum. The column is not centred, which neither a fence nor a
+    rank notices.
     """
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    )
-    weights = PCA(k=1, inputCol="_v", outputCol="_p").fit(assembled).pc.toArray()[:, 0]
+    width = len(columns)
+
+    def moments(batches):
+        """Rows, means and centred products of a task."""
+        total = (0, np.zeros(width), np.zeros((width, width)))
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                mean = x.mean(axis=0)
+                total = _joined(total, (len(x), mean, (x - mean).T @ (x - mean)))
+        parts = [pa.array([total[0]], pa.int64())]
+        parts += [pa.array([m.ravel().tolist()], pa.list_(pa.float64())) for m in total[1:]]
+        yield pa.RecordBatch.from_arrays(parts, ["n", "mean", "products"])
+
+    doubles = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    total = (0, np.zeros(width), np.zeros((width, width)))
+    found = doubles.mapInArrow(moments, "n long, mean array<double>, products array<double>")
+    for r in found.filter("n > 0").collect():
+        total = _joined(total, (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(width, width)))
+    if not np.isfinite(total[2]).all():
+        raise ValueError("NULL, NaN or infinite values have no principal component")
+    weights = np.linalg.eigh(total[2])[1][:, -1]
     # The sign of a component is arbitrary: make its largest weight positive.
     if weights[abs(weights).argmax()] < 0:
         weights = -weights
@@ -106,5 +139,6 @@ def calibrate_contamination(
         n = scaled.count()
     if n < MIN_ROWS:
         return SMALL_SAMPLE_CONTAMINATION
-    pc1 = scaled.select(first_component(scaled, columns).alias("pc1"))
+    # Written once: each pass over the values would project all columns anew.
+    pc1 = written_table(scaled.select(first_component(scaled, columns).alias("pc1")), "pc1")
     return contamination_from(tukey_outliers(pc1, "pc1", n).first()["outliers"], n)

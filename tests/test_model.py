@@ -161,3 +161,31 @@ def test_train_and_score(spark, points):
     assert test_df.count() == 122 and "score_separation" in m.metrics
     top = ranked(score(points, m, from_features=True)).first()
     assert top["hash"].startswith("x")
+
+
+def test_marks_reached_by_halving(spark):
+    """As many steps as the number of marks has binary digits, equal to a look at every mark."""
+    from riskweave.operators.compiled_forest import marks_reached
+
+    for n in (1, 2, 3, 1000, 1001, 1024):
+        grid = sorted([k // 3 / n for k in range(n)])
+        values = [-1.0, 2.0, *grid[:: max(1, n // 50)], *[g + 1e-9 for g in grid[:: max(1, n // 50)]]]
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        got = {r["v"]: r["n"] for r in rows.select("v", marks_reached(grid, F.col("v")).alias("n")).collect()}
+        assert got == {v: sum(g <= v for g in grid) for v in values}
+
+
+def test_first_component_in_one_pass(spark):
+    """Rows of several tasks far from zero; the direction of numpy's covariance."""
+    from riskweave.operators.scaling import _joined, first_component
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) @ np.array([[3.0, 1.0, 0.0], [0.0, 1.0, 0.5], [0.0, 0.0, 0.2]]) + 1e6
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(5)
+    got = rows.select("a", first_component(rows, ["a", "b", "c"]).alias("pc1")).collect()
+    want = np.linalg.eigh(np.cov(x.T))[1][:, -1]
+    want = want * np.sign(want[np.abs(want).argmax()])
+    pc1 = {float(r[0]): float(r @ want) for r in x}
+    assert all(r["pc1"] == pytest.approx(pc1[r["a"]], rel=1e-9) for r in got)
+    nothing = (0, np.zeros(3), np.zeros((3, 3)))
+    assert _joined(nothing, nothing) == nothing

@@ -92,3 +92,12 @@ def test_row_index_and_running_totals(spark):
         assert got_t[(k, i)] == sums[k]
         assert got_u[(k, i)] == seen[m]
         assert got_w[(k, i)] == n + 1 and got_r[(k, i)] == n
+
+
+def test_many_aggregates_run_in_several_plans_of_one_job(spark):
+    from riskweave.operators.ordering import _aggregated
+
+    df = spark.range(1000).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(18)])
+    aggs = [F.count_if(F.col(f"c{i}") == k) for i in range(18) for k in range(4)]
+    want = list(df.agg(*[a.alias(f"x{i}") for i, a in enumerate(aggs)]).first())
+    assert [_aggregated(df, aggs, n) for n in (5, 24, 100)] == [want] * 3
