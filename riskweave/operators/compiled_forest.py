@@ -46,6 +46,17 @@ def raw_expression(model: ForestModel, features: list[Column] | None = None) ->
     return F.pow(F.lit(2.0), -(total / len(trees)) / norm)
 
 
+def marks_reached(grid: list[float], score: Column) -> Column:
+    """How many of the ascending marks are at most ``score``, by halving steps."""
+    steps = [1 << k for k in reversed(range(len(grid).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        # Beyond the last mark there is none, and NULL isn't reached.
+        return F.when(F.get(F.lit(grid), at + step - 1) <= score, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def score_natively(df: DataFrame, model: ForestModel) -> DataFrame:
     """``df`` with raw_score, score_pct, anomaly_score and risk_flag, as ``model.transform``."""
     scaled = {f"_x{i}": model.scaler.scaled(c) for i, c in enumerate(model.columns)}
@@ -53,7 +64,7 @@ def score_natively(df: DataFrame, model: ForestModel) -> DataFrame:
     rows = df.withColumns(scaled)
     rows = rows.withColumn("raw_score", raw_expression(model, [F.col(x) for x in scaled]))
     grid = model.grid
-    reached = F.size(F.filter(F.lit(grid), lambda mark: mark <= F.col("raw_score")))
+    reached = marks_reached(grid, F.col("raw_score"))
     share = (reached - 1) / F.lit(float(len(grid) - 1))
     return rows.drop(*scaled).withColumns(
         {
