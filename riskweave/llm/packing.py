@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.arrow import batch, map_batches
-from riskweave.llm.word_ids import byte_slices, word_ids
+from riskweave.llm.arrow import batch, map_batches, release_memory
+from riskweave.llm.word_ids import WordIds, byte_slices, word_ids
 
 #: Pieces that wait in a task before a pool is packed.
 POOL_PIECES = 4096
+#: Bytes of text that are encoded together, but for one longer text: the arrays on the way
+#: take many times as much memory.
+ENCODE_BYTES = 1_000_000
 #: Id bits below a task's number.
 TASK_BITS = 33
 
@@ -140,6 +144,17 @@ class Packer:
             self.emit(part, size)
 
 
+def encoded(words: WordIds, texts: pa.RecordBatch, end_id: int) -> Iterator[memoryview]:
+    """The ids of each text and ``end_id``, as unsigned 32-bit numbers."""
+    for part in byte_slices([texts], "_text", size=ENCODE_BYTES):
+        found, ends = words.encode(part.column("_text"))
+        raw = memoryview(np.insert(found, ends, end_id).astype("<u4").tobytes())
+        ends = 4 * (ends + np.arange(1, len(ends) + 1))
+        begins = np.concatenate([[0], ends[:-1]])
+        for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+            yield raw[i:j]
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -195,20 +210,15 @@ def pack_documents(
 
             held = 0
             for b in byte_slices(batches, "_text"):
-                found, ends = words.encode(b.column("_text"))
-                raw = memoryview(np.insert(found, ends, end_id).astype("<u4").tobytes())
-                ends = 4 * (ends + np.arange(1, len(ends) + 1))
-                begins = np.concatenate([[0], ends[:-1]])
-                for key, i, j in zip(
-                    b.column(id_col).to_pylist(), begins.tolist(), ends.tolist(), strict=True
-                ):
-                    ids.append(raw[i:j])
+                for key, doc in zip(b.column(id_col).to_pylist(), encoded(words, b, end_id), strict=True):
+                    ids.append(doc)
                     keys.append(key)
-                    packer.add(len(keys) - 1, (j - i) // 4)
-                held += len(raw)
+                    packer.add(len(keys) - 1, len(doc) // 4)
+                    held += len(doc)
                 if packer.waiting >= POOL_PIECES or held >= 32_000_000:
                     held = 0
                     yield flush()
+                    release_memory()
             if keys:
                 yield flush()
 

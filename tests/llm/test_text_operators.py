@@ -5,12 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskweave.llm.lm import score_documents
-from riskweave.llm.packing import pack_documents
+from riskweave.llm.packing import ENCODE_BYTES, encoded, pack_documents
 from riskweave.llm.queries import fold
 from riskweave.llm.repetition import repeat_lengths, repetition_rules
 from riskweave.llm.resample import resample
@@ -92,6 +93,24 @@ def test_packing_of_an_empty_table(spark, docs):
     assert pack_documents(docs.limit(0), WORD_BPE).count() == 0
 
 
+def test_packing_encodes_few_bytes_at_once():
+    """Arrays on the way to the ids of a whole slice of 4 MB took a worker hundreds of MB."""
+    met = []
+
+    class Words:
+        def encode(self, texts):
+            lengths = np.array([len(t or b"") for t in texts.to_pylist()], dtype=np.int64)
+            met.append(int(lengths.sum()))
+            return np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths), np.cumsum(lengths)
+
+    sizes = [0, 3, 400_000, 700_000, 1_200_000, 5, 300_000, 1, 999_999]
+    texts = pa.array([None if n == 3 else b"x" * n for n in sizes], type=pa.binary())
+    docs = list(encoded(Words(), pa.record_batch([texts], names=["_text"]), 7))
+    assert [len(d) // 4 for d in docs] == [1 if n == 3 else n + 1 for n in sizes]
+    assert all(np.frombuffer(d, dtype="<u4")[-1] == 7 for d in docs)
+    assert max(n for n in met if n != 1_200_000) <= ENCODE_BYTES
+
+
 def test_repeat_lengths_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(100):
