@@ -31,7 +31,7 @@ from riskweave.llm.word_ids import WordIds, byte_slices, word_ids
 POOL_PIECES = 4096
 #: Bytes of text that are encoded together, but for one longer text: the arrays on the way
 #: take many times as much memory.
-ENCODE_BYTES = 1_000_000
+ENCODE_BYTES = 2_000_000
 #: Id bits below a task's number.
 TASK_BITS = 33
 
