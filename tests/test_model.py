@@ -1,5 +1,6 @@
 """Scaler, contamination, forest, validation, persistence."""
 
+import itertools
 import math
 
 import numpy as np
@@ -8,7 +9,14 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.forest import IsolationForest, average_path, grow_tree
 from riskweave.operators.scaling import RobustScaler, calibrate_contamination, contamination_from
-from riskweave.operators.validation import cv_summary, ks_two_sample, timeseries_cv, validate, verdicts
+from riskweave.operators.validation import (
+    cv_summary,
+    exact_kolmogorov_p,
+    ks_two_sample,
+    timeseries_cv,
+    validate,
+    verdicts,
+)
 from riskweave.plans.pipeline import ranked, run_pipeline, score, train
 from riskweave.sources.adapters import events_as_raw
 from riskweave.sources.sinks import load_model
@@ -128,6 +136,31 @@ def test_ks(spark, limit):
     assert ks_two_sample(da, da, "v").first()["ks_p_value"] == 1.0
 
 
+@pytest.mark.parametrize("shift", [150, 2000])
+def test_exact_ks_of_large_samples(spark, shift):
+    """Equal sizes beyond 10 000 rows have a closed form: paths mirrored at the band's edges."""
+    n = 12_000
+    a = spark.range(n).select(F.col("id").alias("v"))
+    r = ks_two_sample(a, a.select((F.col("v") + shift).alias("v")), "v", method="exact").first()
+    share = lambda k: math.exp(2 * math.lgamma(n + 1) - math.lgamma(n + k + 1) - math.lgamma(n - k + 1))
+    expected = 2 * sum((-1) ** (k - 1) * share(k * shift) for k in range(1, n // shift + 1))
+    assert (r["n_a"], r["n_b"]) == (n, n)
+    assert r["ks_stat"] == pytest.approx(shift / n)
+    assert r["ks_p_value"] == pytest.approx(expected, rel=1e-6)
+
+
+def test_exact_ks_counts_paths():
+    """Every order of two samples of unequal sizes, one by one."""
+    n, m = 5, 7
+    gaps = []
+    for taken in itertools.combinations(range(n + m), n):
+        a = [sum(t < s for t in taken) for s in range(n + m + 1)]
+        gaps.append(max(abs(a[s] * m - (s - a[s]) * n) for s in range(n + m + 1)))
+    for reach in range(n * m + 1):
+        expected = sum(g >= reach for g in gaps) / len(gaps)
+        assert exact_kolmogorov_p(reach / (n * m), n, m) == pytest.approx(expected, rel=1e-9)
+
+
 def test_validation_and_cv(spark, points, model):
     v = verdicts(validate(model.transform(points.filter("ledger_index < 480")), model.transform(points.filter("ledger_index >= 480"))))
     r = v.first()
