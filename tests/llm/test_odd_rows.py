@@ -1,11 +1,12 @@
 """Every operator on NULLs, empty, long and invalid texts, repeated rows and clashing columns."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import lm
+from riskweave.llm import gru, lm
 from riskweave.llm.chat import format_chats
 from riskweave.llm.decontaminate import decontaminate
 from riskweave.llm.line_dedup import dedup_lines
@@ -91,6 +92,54 @@ def test_scores_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
     assert found[0] == pytest.approx(found[1], rel=1e-4)
 
 
+@pytest.mark.parametrize("frequent", [12, 1000])
+def test_every_word_is_scored_through_the_network(spark, monkeypatch, frequent):
+    """Words beyond the model's, equally many each, are likelier after the word they followed."""
+    monkeypatch.setattr(lm, "MODEL_WORDS", 4)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)  # 12: all of them are dealt to buckets
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 2000)
+    rows = [(d, f"c1 a{d // 2 % 40}" if d % 2 else f"c2 b{d // 2 % 40}") for d in range(8000)]
+    texts = [f"{c} {w}{i}" for i in range(0, 40, 5) for c in ("c1", "c2") for w in "ab"] + ["c1 unseen"]
+    rows += [(9000 + i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = score_documents(docs, F.col("doc_id") >= 9000).filter("held_out").collect()
+    score = {texts[r["doc_id"] - 9000]: r["score"] for r in found}
+    for i in range(0, 40, 5):
+        assert score[f"c1 a{i}"] > score[f"c1 b{i}"] + 0.05
+        assert score[f"c2 b{i}"] > score[f"c2 a{i}"] + 0.05
+    assert score["c1 unseen"] < min(s for t, s in score.items() if t != "c1 unseen")
+    assert {r["n_known"] for r in found} == {2, 3}
+
+
+@pytest.mark.parametrize("words, depth", [(0, 2), (1, 3), (2, 2), (50, 2), (200, 3)])
+def test_a_trees_probabilities_sum_to_one(words, depth):
+    rng = np.random.default_rng(words)
+    counts = rng.integers(1, 30, words).astype(float)
+    states = [rng.uniform(-1, 1, (int(n), gru.HIDDEN)) for n in counts]
+    sums = np.array([s.sum(axis=0) for s in states]).reshape(-1, gru.HIDDEN)
+    second = sum((s.T @ s for s in states), np.zeros((gru.HIDDEN, gru.HIDDEN)))
+    tree = gru.WordTree((counts + 1) / 5000, counts, sums, second, depth)
+    for state in rng.uniform(-1, 1, (5, gru.HIDDEN)).astype(np.float32):
+        found = tree.log_probabilities(np.arange(words)[::-1], np.tile(state, (words, 1)))
+        assert np.exp(found).sum() == pytest.approx((counts + 1).sum() / 5000, rel=1e-4)
+
+
+def test_rare_words_do_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    base = {r["doc_id"]: r for r in score_documents(docs, F.col("doc_id") % 7 == 2).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "FREQUENT", 1500)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 1000)
+    found = []
+    for n in (1, 7):
+        monkeypatch.setattr(lm, "TASK_TOKENS", 10_000 // n)
+        rows = score_documents(docs.repartition(n), F.col("doc_id") % 7 == 2).collect()
+        assert all(r["n_known"] == base[r["doc_id"]]["n_known"] for r in rows)
+        assert {r["doc_id"]: r["base_score"] for r in rows} == pytest.approx({k: b["base_score"] for k, b in base.items()})
+        found.append({r["doc_id"]: r["score"] for r in rows})
+    assert found[0] == pytest.approx(found[1], rel=1e-4)
+
+
 def test_pipeline_keeps_texts_that_share_a_doc_id(spark, sf_dir):
     """A unique text stays though another row of its doc_id is a copy; of copies one row stays."""
     words = lambda p, n=30: " ".join(f"{p}{i}" for i in range(n))
